@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import bitpack, mixing, quality, sharding
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,11 +87,19 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    described = bitpack.token_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return described.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
+        "op10_token_files": op10_token_files,
     }
 
 
