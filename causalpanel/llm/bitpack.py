@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, ship
 
 MAGIC, VERSION = b"TIDB", 1
 LANES, BLOCK = 64, 4096
@@ -210,6 +210,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
     d = d.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     kind = "part int, seq int, n_docs long, n_ids long, image binary"
@@ -244,6 +245,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32, part, seq, nth."""
     import pyarrow as pa
 
+    ship(spark)
     files = spark.read.parquet(path)
     names = ["part", "seq", "nth", "doc_id", "_at", "n_tokens", "ids_crc32"]
     kind = "part int, seq int, nth int, doc_id long, _at long, n_tokens long, ids_crc32 long"
