@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, quality, sharding
+from . import bitpack, mixing, quality, sharding, simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,6 +50,11 @@ from e
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
@@ -97,6 +102,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
+        "op3_simhash": op3_simhash,
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
         "op10_token_files": op10_token_files,
