@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, quality, sharding, simhash
+from . import bitpack, mixing, quality, sharding, simhash, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,6 +55,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
         "op3_simhash": op3_simhash,
+        "op5_toxicity": op5_toxicity,
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
         "op10_token_files": op10_token_files,
