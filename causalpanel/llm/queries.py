@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, quality, sharding, simhash, toxicity
+from . import bitpack, mixing, mtree, quality, sharding, simhash, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,6 +98,24 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,9 +130,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
+        "op9_top_k": op9_top_k,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op7_host_rules": OP7_SQL}
+    return {"op1_mix": OP1_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
