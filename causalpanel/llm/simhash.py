@@ -93,12 +93,13 @@ def fingerprints(docs: DataFrame, size: int, width: int, doc_id: str, text: str)
 def block_tables(rows: int, distance: int) -> list[tuple[int, int]]:
     """(word, mask) tables for one 64-bit print: prints within ``distance`` agree on one mask or more.
 
-    Of b blocks at least b - distance are untouched. The fewest blocks are taken whose keys hold
-    about as many bits as there are rows, so that buckets stay small at any size.
+    Of b blocks at least b - distance are untouched. The fewest blocks are taken that leave about
+    4096 prints of unrelated texts in a bucket at most: more blocks make smaller buckets, but of
+    many more rows.
     """
     for blocks in range(distance + 1, distance + 5):
         kept = blocks - distance
-        if kept * 64 // blocks + 4 >= max(rows, 2).bit_length():
+        if kept * 64 // blocks + 12 >= max(rows, 2).bit_length():
             break
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
