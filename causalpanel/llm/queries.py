@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, mtree, quality, sharding, simhash, toxicity
+from . import bitpack, linededup, mixing, mtree, quality, sharding, simhash, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,6 +50,43 @@ from e
 """
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+
+
+OP2_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (select rid, doc_id, unnest(lines) as line, unnest(range(len(lines))) as no from d),
+t as (
+  select rid, doc_id, no,
+         list_transform(regexp_extract_all(line, '{WORD}'),
+                        lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as toks
+  from l where len(regexp_extract_all(line, '{WORD}')) > 3),
+k as (
+  select toks, count(distinct rid)::bigint as docs, min((doc_id, rid, no)) as first from t group by toks),
+p as (
+  select toks, docs, len(toks) as n, toks[1:3] as path, unnest(toks) as tok, unnest(range(len(toks))) as pos from k),
+f as (select n, path, pos, tok, sum(docs) >= 10 and tok <> '<*>' as constant from p group by n, path, pos, tok),
+m as (
+  select p.toks, p.n, p.path, list(case when constant then tok else '<*>' end order by pos) as template,
+         count(*) filter (not constant) as var
+  from p join f using (n, path, pos, tok) group by p.toks, p.n, p.path),
+o as (
+  select n, path, template, min(first) as kept
+  from m join k using (toks) group by n, path, template having sum(docs) >= 10 and n - any_value(var) >= 0.5 * n),
+g as (select m.toks, o.kept from m join o using (n, path, template)),
+x as (
+  select t.rid, list(t.no) as gone from t join g using (toks)
+  where (t.doc_id, t.rid, t.no) <> g.kept group by t.rid)
+select doc_id,
+       case when gone is null then text
+            else coalesce(array_to_string([lines[i + 1] for i in range(len(lines)) if not list_contains(gone, i)], chr(10)), '') end as text,
+       coalesce(len(lines), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_dropped
+from d left join x using (rid)
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -126,6 +163,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
+        "op2_line_templates": op2_line_templates,
         "op3_simhash": op3_simhash,
         "op5_toxicity": op5_toxicity,
         "op7_host_rules": op7_host_rules,
@@ -136,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
+    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
