@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, linededup, mixing, mtree, quality, sharding, simhash, toxicity
+from . import bitpack, chat, linededup, mixing, mtree, packing, quality, sharding, simhash, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,12 +92,45 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = chat.exchanges(chat.events(messages))
+    return chat.link(found, chat.EXCHANGE).select("conv_id", "turn", "kind", "call_id", "status", "faults", "position", "json")
+
+
+OP4_SQL = """
+with e as (
+  select conv_id, turn, role, text,
+         case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+         case role when 'user' then conv_id || ':' || turn when 'assistant' then conv_id || ':' || (turn - 1) end as call_id
+  from conversations),
+c as (select distinct conv_id, call_id from e where kind = 'call'),
+r as (select distinct conv_id, call_id from e where kind = 'result'),
+s as (
+  select e.*, case kind when 'call' then case when r.call_id is not null then 'answered' else 'unanswered' end
+                        when 'result' then case when c.call_id is not null then 'linked' else 'orphan' end
+                        else 'message' end as status
+  from e left join c using (conv_id, call_id) left join r using (conv_id, call_id)),
+o as (select *, row_number() over (partition by conv_id order by case status when 'linked' then turn - 1 else turn end, call_id nulls first, kind) - 1 as position from s)
+select conv_id, turn, kind, call_id, status, '' as faults, position,
+       case kind
+         when 'call' then '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"call_id":' || to_json(call_id) || ',"name":"answer","role":"user"}'
+         when 'result' then '{"call_id":' || to_json(call_id) || ',"content":' || to_json(text) || ',"role":"assistant"}'
+         else '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' end as json
+from o
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
@@ -165,7 +198,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": op1_mix,
         "op2_line_templates": op2_line_templates,
         "op3_simhash": op3_simhash,
+        "op4_tool_calls": op4_tool_calls,
         "op5_toxicity": op5_toxicity,
+        "op6_packing": op6_packing,
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
         "op9_top_k": op9_top_k,
@@ -174,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
+    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
