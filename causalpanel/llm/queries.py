@@ -193,6 +193,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -204,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_host_rules": op7_host_rules,
         "op8_shards": op8_shards,
         "op9_top_k": op9_top_k,
+        "pipeline": pipeline,
         "op10_token_files": op10_token_files,
     }
 

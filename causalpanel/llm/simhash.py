@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import cut, row_key, ship
 from .components import components
 
-REFERENCES = 16
+#: References of one 64-bit print; wide prints, held to larger distances, have fewer.
+REFERENCES, WIDE_REFERENCES = 16, 4
+#: Large buckets that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 65_536
 #: Prints in one chunk of a large bucket; every two chunks of it meet in one tile.
 CHUNK = 1024
 SEED = 42
@@ -124,13 +127,16 @@ def tile_links(group: np.ndarray, prints: np.ndarray, table: np.ndarray, distanc
     """For rows sorted by (group, first coordinate): each row's root in its group's forest of links.
 
     Row i is held against row i + shift for growing shifts; rows whose partner lies in another group
-    or beyond ``distance`` in the first coordinate are finished. Of the rest, those apart in another
+    or beyond ``distance`` in the first coordinate are finished, as are groups that have become one
+    component. Of the rest, those apart in another
     coordinate are discarded, then the full prints are compared; pairs that are already connected
     add nothing.
     """
     n = len(group)
     root, active, shift = np.arange(n), np.arange(n), 1
     first = table[:, 0]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.empty(0, int)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     while True:
         active = active[active + shift < n]
         other = active + shift
@@ -154,6 +160,8 @@ def tile_links(group: np.ndarray, prints: np.ndarray, table: np.ndarray, distanc
                 root[max(a, b)] = min(a, b)
             while not np.array_equal(flat := root[root], root):
                 root = flat
+            whole = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
+            active = active[~whole[group[active]]]
         shift += 1
 
 
@@ -165,12 +173,14 @@ def links(prints: DataFrame, width: int, distance: int, tables: list[tuple[int,
     """
     import pyarrow as pa
 
-    refs = references(REFERENCES, width)
+    count = REFERENCES if width == 1 else WIDE_REFERENCES
+    refs = references(count, width)
     prints = prints.withColumn("table", F.array(*[_distance(F.col("print"), r) for r in refs]))
     keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("print")[w].bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (w, mask) in enumerate(tables)])
     dealt = prints.withColumn("_b", F.explode(keys)).select("_b.t", "_b.key", "v", "print", "table")
     large = dealt.groupBy("t", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)
-    large = large.select("t", "key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_g"))
+    large = cut(large.select("t", "key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_g")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     dealt = dealt.join(large, ["t", "key"], "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
     own = F.pmod(F.xxhash64("v"), F.col("_g")).cast("int")
     others = F.when(F.col("_g") > 1, F.filter(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: x != F.col("_own"))).otherwise(F.array(F.lit(0)))
@@ -193,7 +203,7 @@ def links(prints: DataFrame, width: int, distance: int, tables: list[tuple[int,
         def edges(part, group):
             v = part.column("v").to_numpy()
             flat = [pa.concat_arrays([x.flatten() for x in part.column(c).chunks]).to_numpy() for c in ("print", "table")]
-            root = tile_links(group, flat[0].view(np.uint64).reshape(-1, width), flat[1].astype(np.int32).reshape(-1, REFERENCES), distance)
+            root = tile_links(group, flat[0].view(np.uint64).reshape(-1, width), flat[1].astype(np.int32).reshape(-1, count), distance)
             at = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(v[root[at]])], ["u", "v"])
 
