@@ -1,11 +1,684 @@
-"""Every panel query by name, with its SQL."""
+"""Every panel query by name, with its SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from causalpanel.functions.guards import safe_div
+from causalpanel.operators import asof, calendar, compare, model, profile, quality, resample, selection, temporal
+from causalpanel.operators import prices as px
+from causalpanel.operators import rank as rk
+from causalpanel.plans import expr, folds, search
+from causalpanel.session import table
+from causalpanel.sources import panels
+from causalpanel.sources.panels import ARM_SQL, PRICES_SQL, REPORTS_SQL, SPARSE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+FEATURES = ["f_qty", "f_rev", "f_disc", "f_n", "f_const"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def kept(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return kept
+
+
+def rounded(d: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return d.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})  # no negative zero
+
+
+# --- rows, columns, joins
+
+
+@query("""select o_orderkey, o_custkey, o_orderdate::date as o_orderdate from orders
+where o_orderstatus in ('F', 'O') and o_custkey is not null and o_orderpriority <> '5-LOW' and o_orderdate >= date '1997-01-01'""")
+def universe_filter(spark, sf):
+    d = table(spark, sf, "orders")
+    rule = quality.universe({"o_orderstatus": ["F", "O"]}, ["o_custkey"], {"o_orderpriority": ["5-LOW"]}, ("o_orderdate", date(1997, 1, 1)))
+    return d.where(rule).select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
+
+
+@query("""select s_suppkey, s_name, n_name, r_name, count(*) as lines, round(sum(l_quantity)::double, 4) as qty
+from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey
+group by all""")
+def star_join(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity").cast("double"), 4).alias("qty"))
+    d = d.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    d = d.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return d.select("s_suppkey", "s_name", "n_name", "r_name", "lines", "qty")
+
+
+@query("""select c_custkey, c_name, c_nationkey, n_name, n_regionkey from customer join nation on c_nationkey = n_nationkey""")
+def overlap_projection(spark, sf):
+    left = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey"), F.col("c_nationkey").alias("key"))
+    right = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), "n_name", "n_regionkey", F.col("n_name").alias("c_name"))
+    return left.join(quality.without_overlap(left, right, ["key"]), "key").drop("key")
+
+
+@query(f"""with {REPORTS_SQL}, {PRICES_SQL}
+select r.entity, r.period_end, round(case when r.period_end - p.p_date <= 14 then p.p_price end, 6) as price
+from reports r asof left join prices p on r.entity = p.entity and r.period_end >= p.p_date""")
+def asof_carry(spark, sf):
+    d = asof.asof_carry(panels.reports(spark, sf).select("entity", "period_end"), panels.prices(spark, sf), "p_price", "entity", "period_end", "entity", "p_date", 14, "price")
+    return rounded(d, "price")
+
+
+@query(f"""with {REPORTS_SQL}, {PRICES_SQL}, s as (select entity, p_date from prices),
+f as (select entity, period_end, f_qty from reports where f_qty is not null)
+select s.entity, s.p_date, round(case when s.p_date - f.period_end <= 60 then f.f_qty end, 6) as f_qty
+from s asof left join f on s.entity = f.entity and s.p_date >= f.period_end""")
+def asof_carry_stale(spark, sf):
+    keys = panels.prices(spark, sf).select("entity", "p_date")
+    return rounded(asof.asof_carry(keys, panels.reports(spark, sf).select("entity", "period_end", "f_qty"), "f_qty", "entity", "p_date", "entity", "period_end", 60), "f_qty")
+
+
+@query(f"""with {REPORTS_SQL}, {PRICES_SQL}
+select r.entity, r.period_end, round(p.p_price * r.f_qty, 4) as size
+from reports r asof join prices p on r.entity = p.entity and r.period_end >= p.p_date
+where r.period_end - p.p_date <= 14 and p.p_price * r.f_qty > 1000000""")
+def size_filter(spark, sf):
+    d = asof.asof_carry(panels.reports(spark, sf).select("entity", "period_end", "f_qty"), panels.prices(spark, sf), "p_price", "entity", "period_end", "entity", "p_date", 14)
+    return d.where(F.col("p_price") * F.col("f_qty") > 1_000_000).select("entity", "period_end", F.round(F.col("p_price") * F.col("f_qty"), 4).alias("size"))
+
+
+AVAILABLE_SQL = f"""{REPORTS_SQL},
+lags as (select *, src_date - period_end as lag from reports),
+fb as (select coalesce(quantile_disc(lag, 0.9), 45)::int as days from lags where lag >= 0),
+avail as (select lags.*, case when lag >= 0 then src_date else period_end + days end as available from lags, fb)"""
+
+
+def _available(spark, sf):
+    return asof.availability_date(panels.reports(spark, sf), "period_end", ["src_date"])
+
+
+@query(f"with {AVAILABLE_SQL} select entity, period_end, available from avail")
+def availability_date(spark, sf):
+    return _available(spark, sf).select("entity", "period_end", "available")
+
+
+@query(f"""with {REPORTS_SQL}, w as (
+  select *, last_value(case when f_qty is not null then period_end end ignore nulls) over o as seen, last_value(f_qty ignore nulls) over o as v
+  from reports window o as (partition by entity order by period_end rows between unbounded preceding and current row))
+select entity, period_end, round(case when period_end - seen <= 183 then v end, 6) as f_qty from w""")
+def causal_fill(spark, sf):
+    d = asof.causal_fill(panels.reports(spark, sf).select("entity", "period_end", "f_qty"), ["f_qty"], "entity", "period_end")
+    return rounded(d, "f_qty")
+
+
+@query(f"""with {SPARSE_SQL}, {PRICES_SQL},
+a as (select entity, min(month) a0, max(month) a1 from sparse group by 1), b as (select entity, min(p_date) b0, max(p_date) b1 from prices group by 1),
+k as (select entity from a join b using (entity) where a0 <= b1 and b0 <= a1)
+select 'left' as side, entity, count(*) as n from sparse semi join k using (entity) group by all
+union all select 'right', entity, count(*) from prices semi join k using (entity) group by all""")
+def align_overlap(spark, sf):
+    a, b = asof.align(panels.sparse_months(spark, sf), panels.prices(spark, sf), "entity", "month", "p_date")
+    one = lambda d, side: d.groupBy("entity").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "entity", "n")
+    return one(a, "left").unionByName(one(b, "right"))
+
+
+# --- prices and returns
+
+ADJUSTED_SQL = f"""{PRICES_SQL},
+adj as (
+  select *, exp(sum(ln(coalesce(split_factor, 1.0))) over o) as split_cum,
+         exp(sum(ln(case when dividend > 0 and coalesce(spinoff, 0) = 0 then 1 + dividend / p_price else 1.0 end)) over o) as dividend_cum
+  from prices window o as (partition by entity order by p_date rows between unbounded preceding and current row)),
+adjusted as (select *, p_price / split_cum * dividend_cum as adj_price from adj)"""
+RETURNS_SQL = f"""{ADJUSTED_SQL},
+mon as (select entity, cast(date_trunc('month', p_date) as date) as month, arg_max(adj_price, p_date) as adj_price from adjusted group by 1, 2),
+pre as (select *, lag(adj_price) over o as p0, lag(year(month) * 12 + month(month)) over o as m0 from mon window o as (partition by entity order by month)),
+ret as (
+  select entity, month, adj_price, adj_price / p0 - 1 as monthly_return
+  from pre where m0 = year(month) * 12 + month(month) - 1 and adj_price / p0 - 1 between -1 and 5),
+sect as (select s_suppkey as entity, r_name as sector from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey),
+rets as (select ret.*, sector from ret join sect using (entity)),
+avgs as (select *, avg(monthly_return) over (partition by sector, month) as sector_return from rets),
+lagged as (
+  select *, lag(monthly_return) over o as prev_month_return, lag(sector_return) over o as prev_month_sector_return
+  from avgs window o as (partition by entity order by month))"""
+
+
+def _sectors(spark, sf):
+    d = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return d.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("entity"), F.col("r_name").alias("sector"))
+
+
+def _returns(spark, sf):
+    months = px.month_end(px.adjust_prices(panels.prices(spark, sf)), ["entity"], "p_date", "adj_price")
+    return px.monthly_returns(months, "adj_price", ["entity"])
+
+
+def _lagged(spark, sf):
+    return px.lag_predictors(_returns(spark, sf).join(_sectors(spark, sf), "entity"))
+
+
+@query(f"""with {ADJUSTED_SQL} select entity, p_date, round(split_cum, 6) as split_cum, round(dividend_cum, 6) as dividend_cum, round(adj_price, 6) as adj_price from adjusted""")
+def total_return_price(spark, sf):
+    d = px.adjust_prices(panels.prices(spark, sf)).select("entity", "p_date", "split_cum", "dividend_cum", "adj_price")
+    return rounded(d, "split_cum", "dividend_cum", "adj_price")
+
+
+@query(f"""with {PRICES_SQL}, w as (
+  select *, avg(p_price) over r as m, stddev_samp(p_price) over r as s, lag(p_price) over (partition by entity order by p_date) as b
+  from prices window r as (partition by entity order by p_date rows between 30 preceding and current row))
+select entity, p_date, coalesce(abs(p_price - m) > 2.5 * s, false) as is_outlier,
+       round(case when abs(p_price - m) > 2.5 * s then case when m < 0 then b else m end else p_price end, 6) as smoothed from w""")
+def outlier_flag(spark, sf):
+    d = px.flag_outliers(panels.prices(spark, sf), "p_price", "entity", "p_date", 2.5)
+    return rounded(d.select("entity", "p_date", "is_outlier", "smoothed"), "smoothed")
+
+
+@query(f"with {RETURNS_SQL} select entity, month, round(monthly_return, 6) as monthly_return from ret")
+def monthly_returns(spark, sf):
+    return rounded(_returns(spark, sf).select("entity", "month", "monthly_return"), "monthly_return")
+
+
+@query(f"""with {SPARSE_SQL}, w as (
+  select *, lag(amount) over o as a0, lag(year(month) * 12 + month(month)) over o as m0 from sparse window o as (partition by entity order by month))
+select entity, month, round(amount / a0 - 1, 6) as change from w where m0 = year(month) * 12 + month(month) - 1 and amount / a0 - 1 between -1 and 5""")
+def gap_guard(spark, sf):
+    d = px.monthly_returns(panels.sparse_months(spark, sf), "amount", ["entity"], name="change")
+    return rounded(d.select("entity", "month", "change"), "change")
+
+
+@query(f"""with {RETURNS_SQL} select entity, month, round(prev_month_return, 6) as prev_month_return, round(prev_month_sector_return, 6) as prev_month_sector_return from lagged""")
+def return_lags(spark, sf):
+    return rounded(_lagged(spark, sf).select("entity", "month", "prev_month_return", "prev_month_sector_return"), "prev_month_return", "prev_month_sector_return")
+
+
+@query(f"with {RETURNS_SQL} select sector, month, round(avg(monthly_return), 6) as industry_return from rets group by all")
+def industry_return(spark, sf):
+    return rounded(px.industry_returns(_returns(spark, sf).join(_sectors(spark, sf), "entity")), "industry_return")
+
+
+# --- calendar
+
+EXPANDED_SQL = f"""{AVAILABLE_SQL}, {RETURNS_SQL},
+nx as (select *, lead(available) over (partition by entity order by period_end) as nxt from avail),
+rng as (
+  select *, cast(date_trunc('month', available) as date) + interval 1 month as f,
+         coalesce(date_trunc('month', nxt) + interval 1 month - interval 1 day, (select last_day(max(month)) from ret)) as t from nx),
+ex as (
+  select *, cast(unnest(generate_series(f::timestamp, t::timestamp, interval 1 month)) as date) as target_date from rng where f <= t),
+expanded as (
+  select * from ex qualify row_number() over (partition by entity, target_date order by period_end desc) = 1),
+panel as (
+  select e.entity, e.sector, e.period_end, e.target_date, f_qty, f_rev, f_disc, f_n, f_const, monthly_return, prev_month_return, prev_month_sector_return
+  from expanded e join lagged l on e.entity = l.entity and e.target_date = l.month where monthly_return is not null)"""
+
+
+def _expanded(spark, sf):
+    last = _returns(spark, sf).agg(F.max("month")).scalar()
+    return calendar.expand_reports(_available(spark, sf), "available", "period_end", last)
+
+
+def _panel(spark, sf):
+    d = calendar.join_panel(_expanded(spark, sf), _lagged(spark, sf))
+    return d.select("entity", "sector", "period_end", "target_date", *FEATURES, "monthly_return", "prev_month_return", "prev_month_sector_return")
+
+
+@query(f"with {EXPANDED_SQL} select entity, target_date, period_end, available from expanded")
+def report_expand(spark, sf):
+    return _expanded(spark, sf).select("entity", "target_date", "period_end", "available")
+
+
+@query(f"""with {EXPANDED_SQL} select entity, target_date, period_end, sector, round(f_rev, 4) as f_rev, round(monthly_return, 6) as monthly_return,
+round(prev_month_return, 6) as prev_month_return from panel""")
+def panel_join(spark, sf):
+    d = _panel(spark, sf).select("entity", "target_date", "period_end", "sector", F.round("f_rev", 4).alias("f_rev"), "monthly_return", "prev_month_return")
+    return rounded(d, "monthly_return", "prev_month_return")
+
+
+# --- temporal operators and expressions
+
+SAFE_SQL = "(case when abs({0}) < 1e-6 then case when {0} < 0 then -1e-6 else 1e-6 end else {0} end)"
+
+
+@query(f"""with {REPORTS_SQL}, w as (
+  select *, lag(f_rev, 1) over o as l1, lag(f_rev, 4) over o as l4,
+         avg(f_rev) over (partition by entity order by period_end rows between 2 preceding and current row) as m3,
+         stddev_samp(f_rev) over (partition by entity order by period_end rows between 2 preceding and current row) as s3
+  from reports window o as (partition by entity order by period_end))
+select entity, period_end, round(l1, 4) as f_rev_lag1, round(f_rev - l1, 4) as f_rev_delta1, round((f_rev - l4) / {SAFE_SQL.format('l4')}, 6) as f_rev_growth4,
+       round(m3, 4) as f_rev_mean3, round(s3, 4) as f_rev_std3 from w""")
+def temporal_ops(spark, sf):
+    ops = temporal.vocabulary((1, 4), (3,))
+    d = temporal.add_temporal(panels.reports(spark, sf), ["f_rev"], "entity", "period_end", [ops[n] for n in ("lag1", "delta1", "growth4", "mean3", "std3")])
+    d = d.select("entity", "period_end", "f_rev_lag1", "f_rev_delta1", "f_rev_growth4", "f_rev_mean3", "f_rev_std3")
+    return rounded(rounded(d, "f_rev_lag1", "f_rev_delta1", "f_rev_mean3", "f_rev_std3", places=4), "f_rev_growth4")
+
+
+def _leaf(name):
+    return expr.Leaf(name)
+
+
+def _growth(period=1):
+    return temporal.TemporalOp("growth", period)
+
+
+RATIO = expr.chain([_leaf("f_rev"), _leaf("f_qty")], ["/"])
+MASKED = expr.Temporal(temporal.TemporalOp("lag", 1), _leaf("f_qty"))
+NESTED = expr.Temporal(temporal.TemporalOp("mean", 2), expr.Temporal(_growth(), RATIO))
+MIXED = expr.chain([_leaf("f_rev"), _leaf("f_n"), _leaf("f_disc"), MASKED], ["-", "*", "+"])
+
+
+def _evaluated(spark, sf, population):
+    d = panels.reports(spark, sf).withColumn("ok", F.lit(True))
+    return expr.evaluate(d, population, "entity", "period_end", "ok")
+
+
+@query(f"""with {REPORTS_SQL} select entity, period_end, round((f_rev - f_n) * f_disc, 4) as arith, round(f_rev / {SAFE_SQL.format('f_qty')}, 6) as ratio from reports""")
+def expr_arithmetic(spark, sf):
+    d = _evaluated(spark, sf, [expr.chain([_leaf("f_rev"), _leaf("f_n"), _leaf("f_disc")], ["-", "*"]), RATIO])
+    return d.select("entity", "period_end", F.round("e0", 4).alias("arith"), F.round("e1", 6).alias("ratio"))
+
+
+@query(f"""with {REPORTS_SQL} select entity, period_end, round(f_rev / {SAFE_SQL.format('(f_n - f_n)')}, 2) as guarded,
+round(f_rev / {SAFE_SQL.format('(-f_const * 1e-9)')}, 2) as negative from reports""")
+def expr_guarded_division(spark, sf):
+    d = panels.reports(spark, sf)
+    return d.select("entity", "period_end", F.round(safe_div(F.col("f_rev"), F.col("f_n") - F.col("f_n")), 2).alias("guarded"), F.round(safe_div(F.col("f_rev"), -F.col("f_const") * 1e-9), 2).alias("negative"))
+
+
+@query(f"""with {REPORTS_SQL}, a as (
+  select entity, period_end, f_rev / {SAFE_SQL.format('f_qty')} as x from reports where f_qty is not null and f_rev is not null),
+g as (select *, lag(x) over (partition by entity order by period_end) as l from a),
+h as (select entity, period_end, (x - l) / {SAFE_SQL.format('l')} as g from g),
+m as (select *, avg(g) over (partition by entity order by period_end rows between 1 preceding and current row) as v from h)
+select r.entity, r.period_end, round(m.v, 6) as nested, m.entity is not null as survives from reports r left join m using (entity, period_end)""")
+def expr_nested_temporal(spark, sf):
+    return _evaluated(spark, sf, [NESTED]).select("entity", "period_end", F.round("e0", 6).alias("nested"), F.col("m0").alias("survives"))
+
+
+@query(f"""with {REPORTS_SQL}, a as (select entity, period_end, lag(f_qty) over (partition by entity order by period_end) as l from reports where f_qty is not null)
+select r.entity, r.period_end, round((f_rev - f_n) * f_disc + l, 4) as mixed, a.entity is not null as survives
+from reports r left join a using (entity, period_end)""")
+def expr_masked_lag(spark, sf):
+    return _evaluated(spark, sf, [MIXED]).select("entity", "period_end", F.round("e0", 4).alias("mixed"), F.col("m0").alias("survives"))
+
+
+@query(f"""with {REPORTS_SQL}, b as (select quantile_cont(f_rev, 0.01) as lo, quantile_cont(f_rev, 0.99) as hi from reports where year(period_end) <= 1998)
+select entity, period_end, round(greatest(least(f_rev, hi), lo), 4) as f_rev from reports, b""")
+def winsorize_train_bounds(spark, sf):
+    d = expr.winsorize(panels.reports(spark, sf).select("entity", "period_end", "f_rev"), F.year("period_end") <= 1998, ["f_rev"])
+    return rounded(d, "f_rev", places=4)
+
+
+# --- quality and profiling
+
+LONG_SQL = "select unnest(['f_qty', 'f_rev', 'f_disc', 'f_n', 'f_const']) as feature, unnest([f_qty, f_rev, f_disc, f_n, f_const]) as x, entity, sector, period_end from reports"
+
+
+@query(f"with {REPORTS_SQL}, l as ({LONG_SQL}) select feature, round(avg((x is null or isnan(x))::int), 6) as missing_share from l group by 1")
+def missingness(spark, sf):
+    return rounded(quality.missing_shares(panels.reports(spark, sf), FEATURES), "missing_share")
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}),
+e as (select feature, entity, stddev_samp(coalesce(x, 0)) as s, sqrt(avg(coalesce(x, 0) ** 2)) as r from l group by 1, 2)
+select feature, round(avg((s is not null and (r = 0 or s < 0.10 * r))::int), 6) as static_share from e group by 1""")
+def static_flag(spark, sf):
+    return rounded(quality.static_shares(panels.reports(spark, sf), FEATURES, "entity"), "static_share")
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), e as (select feature, entity, max((x is not null)::int) as c from l group by 1, 2),
+s as (select feature, sector, max((x is not null)::int) as c from l group by 1, 2)
+select 'entity' as grain, feature, round(avg(c), 6) as covered from e group by 2 union all select 'sector', feature, round(avg(c), 6) from s group by 2""")
+def coverage(spark, sf):
+    d = panels.reports(spark, sf)
+    one = lambda g: quality.coverage(d, FEATURES, g).select(F.lit(g).alias("grain"), "feature", F.round("covered", 6).alias("covered"))
+    return one("entity").unionByName(one("sector"))
+
+
+@query(f"""with {REPORTS_SQL} select 'f_rev' as feature, count(*) filter (entity % 5 = 0) as infinities from reports union all select 'f_n', 0 from (select 1)""")
+def infinity_count(spark, sf):
+    d = panels.reports(spark, sf).withColumn("f_rev", F.when(F.col("entity") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("f_rev")))
+    return quality.infinity_counts(d, ["f_rev", "f_n"])
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), g as (
+  select feature, date_diff('day', lag(period_end) over (partition by feature, entity order by period_end), period_end) as days from l where x is not null),
+c as (select feature, days, count(*) as n from g where days is not null group by 1, 2),
+m as (select feature, days::int as days from c qualify row_number() over (partition by feature order by n desc, days) = 1)
+select feature, days, case when days < 45 then 'monthly' when days < 135 then 'quarterly' else 'annual' end as frequency from m""")
+def interval_frequency(spark, sf):
+    return profile.reporting_frequency(panels.reports(spark, sf), FEATURES, "entity", "period_end")
+
+
+@query(f"""with {AVAILABLE_SQL}, l as (select lag from avail where lag >= 0), k as (select unnest([31, 45, 60, 90, 120])::int as within)
+select within, round(avg((lag <= within)::int), 6) as share from l, k group by 1""")
+def filing_delay(spark, sf):
+    d = panels.reports(spark, sf).withColumn("lag", F.datediff("src_date", "period_end"))
+    return rounded(profile.attainment(d, "lag"), "share")
+
+
+@query(f"""with {REPORTS_SQL} select case when f_n < 0 then 0 when f_n >= 60 then 13 else 1 + floor(f_n / 5)::int end::int as bucket, count(*) as n from reports group by 1""")
+def histogram(spark, sf):
+    return profile.histogram(panels.reports(spark, sf), "f_n", 0.0, 60.0, 12)
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), m as (select feature, avg(x) as m from l group by 1),
+c as (select l.feature, count(x) as n, avg((x - m) ** 2) as m2, avg((x - m) ** 3) as m3, avg((x - m) ** 4) as m4 from l join m using (feature) where x is not null group by 1),
+d as (select feature, avg(x) as mean, stddev_samp(x) as sd, min(x) as least, max(x) as most, median(x) as median from l group by 1)
+select feature, n, round(mean, 4) as mean, round(sd, 4) as sd, round(least, 4) as least, round(most, 4) as most, round(median, 4) as median,
+       round(case when least < most then m3 / m2 ** 1.5 end, 4) as skew, round(case when least < most then m4 / m2 ** 2 - 3 end, 4) as kurtosis
+from d join c using (feature)""")
+def describe(spark, sf):
+    return rounded(profile.describe(panels.reports(spark, sf), FEATURES), "mean", "sd", "least", "most", "median", "skew", "kurtosis", places=4)
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), s as (select feature, avg((x is null)::int) as share from l group by 1),
+b as (select unnest([0.0, 0.01, 0.05, 0.10, 0.20, 0.30, 0.50, 0.75])::double as band)
+select max_band as band, count(*) as features from (select feature, max(band) as max_band from s join b on share >= band group by 1) group by 1""")
+def missing_bands(spark, sf):
+    return profile.missing_bands(panels.reports(spark, sf), FEATURES)
+
+
+@query(f"""with {REPORTS_SQL}, {SPARSE_SQL},
+a as (select date_trunc('month', period_end)::date as month, count(distinct entity) as reports from reports group by 1),
+b as (select month, count(distinct entity) as orders from sparse group by 1)
+select coalesce(a.month, b.month) as month, coalesce(reports, 0) as reports, coalesce(orders, 0) as orders from a full join b on a.month = b.month""")
+def coverage_by_month(spark, sf):
+    a = panels.reports(spark, sf).select("entity", F.col("period_end").alias("day"))
+    b = panels.sparse_months(spark, sf).select("entity", F.col("month").alias("day"))
+    return profile.coverage_by_month({"reports": a, "orders": b}, "entity", "day")
+
+
+@query(f"""with {REPORTS_SQL}, {PRICES_SQL}
+select 'reports' as frame, count(*) as rows, count(distinct entity) as entities, min(period_end) as first, max(period_end) as last from reports
+union all select 'prices', count(*), count(distinct entity), min(p_date), max(p_date) from prices""")
+def dataset_scope(spark, sf):
+    return profile.scope({"reports": (panels.reports(spark, sf), "entity", "period_end"), "prices": (panels.prices(spark, sf), "entity", "p_date")})
+
+
+@query("""with e as (select user_id, ts::date as day, sum(value)::double as total from events group by 1, 2),
+g as (select *, date_diff('day', lag(day) over (partition by user_id order by day), day)::int as days from e)
+select user_id, count(*) as rows, min(day) as first, max(day) as last, max(days) as most_gap, count(distinct year(day)) as years from g group by 1""")
+def company_observations(spark, sf):
+    d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"))
+    return profile.company_observations(d, "user_id", "day")
+
+
+@query(f"""with {RETURNS_SQL} select month, count(*) as n, round(avg(monthly_return), 6) as mean, round(stddev_samp(monthly_return), 6) as sd,
+round(quantile_cont(monthly_return, 0.5), 6) as median, round(quantile_cont(monthly_return, 0.05), 6) as low, round(quantile_cont(monthly_return, 0.95), 6) as high
+from ret group by 1""")
+def return_cross_section(spark, sf):
+    return rounded(profile.cross_section(_returns(spark, sf), "month", "monthly_return"), "mean", "sd", "median", "low", "high")
+
+
+@query("""select distinct c_custkey, c_nationkey from customer
+qualify row_number() over (partition by c_nationkey order by md5('7:' || c_custkey), c_custkey) <= 3""")
+def sample_entities(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return quality.sample_entities(d, "c_custkey", "c_nationkey", 3, 7)
+
+
+# --- folds
+
+FOLD_YEARS = (1, 2, 2)
+
+
+def _folds(spark, sf):
+    return folds.fold_boundaries(folds.years_of(panels.reports(spark, sf), "period_end"), *FOLD_YEARS)
+
+
+@query(f"""with {REPORTS_SQL}, y as (select distinct year(period_end)::int as y from reports), n as (select count(*) as n, min(y) as y0 from y),
+r as (select y, row_number() over (order by y) as k, n, y0 from y, n),
+d as (select y, y0, case when k > n - 2 then 'final_test' else 'development' end as category from r where k > n - 2 or k >= greatest(0, n - 2 - 2 - 1) + 2)
+select category, 'fold_0' || row_number() over (partition by category order by y) as fold, y0 as train_from,
+       case category when 'final_test' then y - 2 else y - 1 end as train_to, case category when 'final_test' then y - 1 else -1 end as validation, y as test from d""")
+def fold_boundaries(spark, sf):
+    rows = [(f.category, f.name, f.train[0], f.train[1], f.validation[0] if f.validation else -1, f.test[0]) for f in _folds(spark, sf)]
+    return spark.createDataFrame(rows, "category string, fold string, train_from int, train_to int, validation int, test int")
+
+
+@query(f"""with {EXPANDED_SQL}, s as (
+  select case when target_date <= date '1998-11-30' then 'train' when target_date between date '1999-01-01' and date '1999-11-30' then 'validation'
+              when year(target_date) = 2000 then 'test' end as split, target_date, entity from panel)
+select split, count(*) as n, count(distinct entity) as entities, min(target_date) as first, max(target_date) as last from s where split is not null group by 1""")
+def embargo_split(spark, sf):
+    fold = folds.Fold("fold_01", "final_test", (1990, 1998), (2000, 2000), (1999, 1999))
+    d = folds.split(_panel(spark, sf), fold, "target_date", 1)
+    return d.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"), F.min("target_date").alias("first"), F.max("target_date").alias("last"))
+
+
+# --- rank metrics
+
+PREDICTIONS_SQL = f"""{RETURNS_SQL},
+pred as (
+  select entity, month, round(adj_price / 100, 0) as prediction, lead(monthly_return) over (partition by entity order by month) as label from ret),
+predictions as (select * from pred where label is not null)"""
+IC_SQL = """rk as (
+  select month, rank() over (partition by month order by prediction) + (count(*) over (partition by month, prediction) - 1) / 2.0 as x,
+         rank() over (partition by month order by label) + (count(*) over (partition by month, label) - 1) / 2.0 as y from predictions),
+ics as (select month, count(*) as n, corr(x, y) as ic from rk group by 1 having count(distinct x) > 1 and count(distinct y) > 1)"""
+
+
+def _predictions(spark, sf):
+    label = F.lead("monthly_return").over(Window.partitionBy("entity").orderBy("month"))
+    d = _returns(spark, sf).withColumns({"prediction": F.round(F.col("adj_price") / 100, 0), "label": label})
+    return d.where("label is not null").select("entity", "month", "prediction", "label")
+
+
+@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select month, round(ic, 6) as ic, n from ics")
+def monthly_rank_ic(spark, sf):
+    return rounded(rk.monthly_rank_ic(_predictions(spark, sf)).select("month", "ic", "n"), "ic")
+
+
+@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select round(avg(ic), 6) as mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) as ic_ir, count(*) as months from ics")
+def ic_summary(spark, sf):
+    return rounded(rk.monthly_rank_ic(_predictions(spark, sf)).agg(*rk.ic_summary(F.col("ic"))), "mean_ic", "ic_ir")
+
+
+@query(f"""with {PREDICTIONS_SQL} select year(month)::int as year, round(sqrt(avg((label - prediction / 1000) ** 2)), 6) as rmse, count(*) as n from predictions group by 1""")
+def pooled_rmse(spark, sf):
+    d = _predictions(spark, sf).withColumn("prediction", F.col("prediction") / 1000).withColumn("year", F.year("month"))
+    return rounded(model.errors(d, "label", ("year",)), "rmse")
+
+
+@query(f"""with {EXPANDED_SQL}, l as (
+  select unnest(['f_qty', 'f_rev', 'f_disc', 'f_n', 'f_const']) as feature, unnest([f_qty, f_rev, f_disc, f_n, f_const]) as x, monthly_return as y from panel),
+b as (select * from l where x is not null)
+select f.feature, round(case when min(x) < max(x) then corr(x, y) end, 6) as correlation
+from (select unnest(['f_qty', 'f_rev', 'f_disc', 'f_n', 'f_const']) as feature) f left join b using (feature) group by 1""")
+def pearson_target(spark, sf):
+    return rounded(quality.pearson(_panel(spark, sf), FEATURES, "monthly_return"), "correlation")
+
+
+@query(f"""with {REPORTS_SQL}, p as (
+  select unnest(['f_qty', 'f_rev', 'f_qty']) as a, unnest(['f_rev', 'f_n', 'f_disc']) as b, unnest([f_qty, f_rev, f_qty]) as x, unnest([f_rev, f_n, f_disc]) as y from reports),
+k as (
+  select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as x,
+         rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as y from p where x is not null and y is not null)
+select a, b, round(corr(x, y), 6) as rho, count(*) as n from k group by 1, 2""")
+def pairwise_spearman(spark, sf):
+    return rounded(rk.spearman(panels.reports(spark, sf), [("f_qty", "f_rev"), ("f_rev", "f_n"), ("f_qty", "f_disc")]), "rho")
+
+
+# --- selection, significance, comparison
+
+SCORES = [(f"x{k}", m, ((k * a + b) % 17) / 17.0) for m, a, b in (("spearman", 5, 3), ("mutual", 7, 1), ("forest", 3, 8)) for k in range(12)]
+SCORES_SQL = "scores as (select * from (values " + ", ".join(f"('{f}', '{m}', {s}::double)" for f, m, s in SCORES) + ") t(feature, method, score))"
+VOTES_SQL = f"""{SCORES_SQL},
+pct as (
+  select *, (rank() over (partition by method order by score) + (count(*) over (partition by method, score) - 1) / 2.0) / count(*) over (partition by method) as p from scores),
+votes as (select feature, count(*) filter (p >= 0.60) as votes, avg(p) as consensus_score from pct group by 1)"""
+
+
+def _scores(spark):
+    return spark.createDataFrame(SCORES, "feature string, method string, score double")
+
+
+@query(f"with {VOTES_SQL} select feature, votes, round(consensus_score, 6) as consensus_score, votes >= 2 as kept from votes")
+def consensus_vote(spark, sf):
+    return rounded(selection.consensus(_scores(spark)), "consensus_score")
+
+
+@query(f"""with {VOTES_SQL} select feature, cluster, round(consensus_score, 6) as consensus_score from (
+  select *, substr(feature, 2)::int % 4 as cluster, (substr(feature, 2)::int * 3 % 5) / 10.0 as missing_share from votes)
+qualify row_number() over (partition by cluster order by consensus_score desc, missing_share, feature) = 1""")
+def representative_pick(spark, sf):
+    k = F.substring("feature", 2, 9).cast("int")
+    d = selection.consensus(_scores(spark)).withColumns({"cluster": k % 4, "missing_share": (k * 3 % 5) / 10.0, "company_coverage": F.lit(1.0), "sector_coverage": F.lit(1.0), "spearman": F.lit(0.0)})
+    return rounded(selection.representatives(d).select("feature", "cluster", "consensus_score"), "consensus_score")
+
+
+P_VALUES = [(k, p) for k, p in enumerate([0.01, 0.04, 0.03, 0.005, 0.04, 0.9])]
+
+
+@query(f"""with p as (select * from (values {", ".join(f"({k}, {p}::double)" for k, p in P_VALUES)}) t(position, p_value)),
+s as (select *, (count(*) over () - row_number() over (order by p_value, position) + 1) * p_value as s from p)
+select position, p_value, round(least(1.0, max(s) over (order by p_value, position)), 6)::double as adjusted from s""")
+def holm(spark, sf):
+    return rounded(compare.holm(spark.createDataFrame(P_VALUES, "position int, p_value double")), "adjusted")
+
+
+MATCHED_SQL = f"""{ARM_SQL},
+matched as (
+  select a.fold, a.seed, a.month, a.ic as on_ic, b.ic as off_ic, a.ic - b.ic as delta
+  from arm_ic a join arm_ic b using (fold, seed, month, predictor) where a.arm = 'on' and b.arm = 'off' and predictor = 'winner'),
+averaged as (select fold, month, avg(on_ic) as on_ic, avg(off_ic) as off_ic, avg(delta) as delta from matched group by 1, 2)"""
+
+
+@query(f"with {MATCHED_SQL} select fold, month, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from averaged")
+def seed_averaged_delta(spark, sf):
+    return rounded(compare.seed_averaged(panels.arm_ic(spark)), "on_ic", "off_ic", "delta")
+
+
+@query(f"with {MATCHED_SQL} select fold, seed, month, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from matched")
+def per_seed_delta(spark, sf):
+    return rounded(compare.seed_deltas(panels.arm_ic(spark)), "on_ic", "off_ic", "delta")
+
+
+@query(f"""with {MATCHED_SQL} select arm, round(avg(ic), 6) as mean_ic, round(avg(ic) / stddev_samp(ic), 6) as ic_ir, count(*) as months
+from (select 'on' as arm, on_ic as ic from averaged union all select 'off', off_ic from averaged) group by 1""")
+def arm_levels(spark, sf):
+    d = compare.seed_averaged(panels.arm_ic(spark)).unpivot(["fold", "month"], [F.col("on_ic").alias("on"), F.col("off_ic").alias("off")], "arm", "ic")
+    return rounded(d.groupBy("arm").agg(*rk.ic_summary(F.col("ic"))), "mean_ic", "ic_ir")
+
+
+@query(f"""with {MATCHED_SQL}, f as (select fold, avg(on_ic) as on_ic, avg(off_ic) as off_ic, avg(delta) as delta from averaged group by 1)
+select fold, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from f
+union all select 'mean', round(avg(on_ic), 6), round(avg(off_ic), 6), round(avg(delta), 6) from f""")
+def fold_rank_ic(spark, sf):
+    d = compare.seed_averaged(panels.arm_ic(spark)).groupBy("fold").agg(*[F.avg(c).alias(c) for c in ("on_ic", "off_ic", "delta")])
+    return rounded(compare.with_mean_row(d, "fold"), "on_ic", "off_ic", "delta")
+
+
+def _within_sql(predictors: list[str]) -> str:
+    picks = ", ".join(f"max(case when predictor = '{p}' then ic end) as {p}" for p in predictors)
+    return f"w as (select arm, fold, seed, month, {picks} from arm_ic group by 1, 2, 3, 4), m as (select arm, fold, month, {', '.join(f'avg({p}) as {p}' for p in predictors)} from w where {' and '.join(f'{p} is not null' for p in predictors)} group by 1, 2, 3)"
+
+
+@query(f"with {ARM_SQL}, {_within_sql(['winner', 'base_c'])} select fold, month, round(winner, 6) as winner, round(base_c, 6) as base_c from m where arm = 'on'")
+def within_arm_two_way(spark, sf):
+    return rounded(compare.within_arm(panels.arm_ic(spark), "on", ["winner", "base_c"]), "winner", "base_c")
+
+
+@query(f"with {ARM_SQL}, {_within_sql(['winner', 'base_a', 'base_c'])} select fold, month, round(winner, 6) as winner, round(base_a, 6) as base_a, round(base_c, 6) as base_c from m where arm = 'off'")
+def within_arm_n_way(spark, sf):
+    return rounded(compare.within_arm(panels.arm_ic(spark), "off", ["winner", "base_a", "base_c"]), "winner", "base_a", "base_c")
+
+
+@query(f"""with {ARM_SQL}, {_within_sql(['winner', 'base_c'])}
+select a.fold, a.month, round(a.winner - a.base_c, 6) + 0.0 as on_lift, round(b.winner - b.base_c, 6) + 0.0 as off_lift, round(a.winner - a.base_c - (b.winner - b.base_c), 6) + 0.0 as difference
+from m a join m b using (fold, month) where a.arm = 'on' and b.arm = 'off'""")
+def lift_difference(spark, sf):
+    return rounded(compare.lifts(panels.arm_ic(spark), "base_c"), "on_lift", "off_lift", "difference")
+
+
+@query(f"""with {ARM_SQL} select arm, seed, round(avg(ic), 6) as mean_ic, round(avg(ic) / stddev_samp(ic), 6) as ic_ir, count(*) as months
+from arm_ic where predictor = 'winner' group by 1, 2""")
+def seed_level_ic(spark, sf):
+    return rounded(compare.seed_levels(panels.arm_ic(spark)), "mean_ic", "ic_ir")
+
+
+WINNERS = [expr.chain([MASKED, NESTED], ["+"]), RATIO, NESTED, expr.chain([_leaf("f_n"), MASKED], ["*"])]
+
+
+@query("""select * from (values ('growth', 2::bigint, 50.0::double), ('lag', 2, 50.0), ('mean', 2, 50.0)) t(family, winners, percent)""")
+def family_usage(spark, sf):
+    d = spark.createDataFrame([(k, e.families()) for k, e in enumerate(WINNERS)], "run int, families array<string>")
+    return compare.family_usage(d)
+
+
+RUNS = [(k, "ab"[k % 3 == 0], [f"t{(k * s) % 7}" for s in range(4)], 0.08 + k / 1000, 0.03 - k / 500) for k in range(6)]
+
+
+@query(f"""with r as (select * from (values {", ".join(f"({k}, '{w}', {t}, {x}::double, {y}::double)" for k, w, t, x, y in RUNS)}) v(run, winner, top, rmse, mean_ic)),
+m as (select winner, count(*) as n from r group by 1 order by n desc, winner limit 1),
+j as (select len(list_intersect(a.top, b.top)) / len(list_distinct(list_concat(a.top, b.top))) as j from r a join r b on a.run < b.run)
+select (select winner from m) as modal_winner, round((select n from m) / count(*), 6) as champion_stability, (select round(avg(j), 6) from j) as top_k_overlap, count(*) as n_runs,
+round(stddev_pop(rmse), 6) as rmse_std, round(max(rmse) - min(rmse), 6) as rmse_range, round(stddev_pop(mean_ic), 6) as mean_ic_std, round(max(mean_ic) - min(mean_ic), 6) as mean_ic_range from r""")
+def stability(spark, sf):
+    d = compare.stability(spark.createDataFrame(RUNS, "run int, winner string, top array<string>, rmse double, mean_ic double"))
+    return rounded(d, "champion_stability", "top_k_overlap", "rmse_std", "rmse_range", "mean_ic_std", "mean_ic_range")
+
+
+@query()
+def block_bootstrap(spark, sf):
+    """The draws come from the driver's generator, which SQL has not; tests hold it to plain Python."""
+    d = compare.seed_averaged(panels.arm_ic(spark)).select("fold", "month", "delta")
+    lengths = {r["fold"]: r["count"] for r in d.groupBy("fold").count().orderBy("fold").collect()}
+    found = resample.bootstrap(d, resample.draw_starts(spark, lengths, replicates=500))
+    return compare.verdict(found.withColumnRenamed("observed", "delta"))
+
+
+@query()
+def seed_block_bootstrap(spark, sf):
+    d = compare.seed_deltas(panels.arm_ic(spark)).select("fold", "seed", "month", "delta")
+    lengths = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.countDistinct("month").alias("n")).orderBy("fold").collect()}
+    drawn = resample.draw_seeds(spark, [100, 101, 102, 103], 200)
+    return resample.seed_bootstrap(d, drawn, resample.draw_starts(spark, lengths, replicates=200, seed=43))
+
+
+# --- models (no SQL can train them)
+
+
+def _split_panel(spark, sf):
+    fold = folds.Fold("fold_01", "final_test", (1990, 1998), (2000, 2000), (1999, 1999))
+    return folds.split(_panel(spark, sf).na.drop(subset=["prev_month_return", "prev_month_sector_return"]), fold, "target_date", 1)
+
+
+@query()
+def gbt_fitness(spark, sf):
+    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=3)
+    scores = scorer([RATIO, NESTED])
+    return spark.createDataFrame([(str(e), x) for e, x in scores.items()], "expression string, fitness double")
+
+
+@query()
+def search_step(spark, sf):
+    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=2)
+    grammar = expr.Grammar(["f_qty", "f_rev", "f_disc", "f_n"], most_leaves=2)
+    best, state, known = search.search(scorer, grammar, search.Settings(population=4, generations=2), folds.derive_seed(42, "fold_01"))
+    return spark.createDataFrame([(str(e), x, e == best) for e, x in known.items()], "expression string, fitness double, best boolean")
+
+
+@query()
+def feature_scores(spark, sf):
+    d, columns = _panel(spark, sf), ["f_qty", "f_rev", "f_disc", "f_n"]
+    found = {"spearman": model.spearman_scores(d, columns, "monthly_return"), "mutual": model.mutual_information(d, columns, "monthly_return"), "forest": model.permutation_importance(d, columns, "monthly_return", 5, 1)}
+    out = None
+    for method, scores in found.items():
+        one = scores.select("feature", F.lit(method).alias("method"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
