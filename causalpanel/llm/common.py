@@ -63,6 +63,12 @@ def row_key(*columns: Column) -> list[Column]:
     ]
 
 
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """_doc (the whole row, whatever its columns are called), _k1, _k2 (its key by ``names``)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return docs.select(whole, *row_key(*[F.col(n) for n in names]))
+
+
 def hash_bits(rows: int, per_bucket: int, most: int = 40) -> int:
     """Bits of a uniform hash that cut ``rows`` rows into buckets of about ``per_bucket``."""
     return min(most, max(0, math.ceil(math.log2(max(rows, 1) / per_bucket))))

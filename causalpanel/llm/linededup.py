@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, words
+from .common import cut, keyed, row_key, words
 
 #: Leading tokens in a path; shorter lines than one token more have no leaf and always stay.
 DEPTH = 3
@@ -88,9 +88,8 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id:
     unchanged. A null text stays null and has no lines; an empty one has one. ``n_chars``, if
     there is such a column, follows. An empty table gives an empty result.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), *row_key(F.col(doc_id), F.col(text)))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.col(text))).where("text is not null")
-    d = keyed.join(recurring(plain, least_docs), ["_k1", "_k2"], "left")
+    d = keyed(docs, doc_id, text).join(recurring(plain, least_docs), ["_k1", "_k2"], "left")
     body = F.col(f"_doc.{text}")
     d = d.select("_doc", "drop", F.split(body, "\n").alias("_all"))
     d = d.withColumn("_stay", F.when(F.col("drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "drop")))

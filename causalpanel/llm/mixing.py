@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_offsets, cut, hash_bits, n_words, row_key, words
+from .common import bucket_offsets, cut, hash_bits, keyed, n_words, row_key, words
 
 #: Weights by a source's place in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -103,9 +103,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     so_far = Window.partitionBy("_k1", "_k2").orderBy("epochs", "part", "size")
     plan = plan.withColumn("_upto", F.sum("_n").over(so_far)).groupBy("_k1", "_k2")
     plan = plan.agg(F.sort_array(F.collect_list(F.struct("_upto", "epochs", "part", "size"))).alias("_plans"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), *row_key(F.col(doc_id), F.col(text), F.col(source)))
     nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    d = keyed.join(plan, ["_k1", "_k2"]).withColumn("_nth", nth)
+    d = keyed(docs, doc_id, text, source).join(plan, ["_k1", "_k2"]).withColumn("_nth", nth)
     d = d.withColumn("_plan", F.element_at(F.filter("_plans", lambda p: p["_upto"] >= F.col("_nth")), 1))
     full = F.when(F.col("_plan.epochs") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("_plan.epochs").cast("int"))).otherwise(F.array().cast("array<bigint>"))
     rest = F.when(F.col("_plan.part") > 0, F.array(F.when(F.col("_plan.part") < F.col("_plan.size"), F.col("_plan.part")).otherwise(F.lit(-1)).cast("long"))).otherwise(F.array().cast("array<bigint>"))

@@ -121,7 +121,7 @@ class MTree:
 def _matrix(column, width: int) -> np.ndarray:
     """(n, width) int64 of a list column, Arrow table or batch."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return column.flatten().to_numpy().astype(np.int64).reshape(-1, width)
+    return column.flatten().to_numpy().astype(np.int64).reshape(len(column), width)
 
 
 def _searcher(k: int) -> Callable:

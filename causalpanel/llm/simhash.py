@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, ship
+from .common import cut, keyed, row_key, ship
 from .components import components
 
 #: References of one 64-bit print; wide prints, held to larger distances, have fewer.
@@ -258,5 +258,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     kept = found.groupBy("root").agg(F.min(order).alias("_first")).select("_first._k1", "_first._k2")
-    keyed = docs.select("*", *row_key(F.col(doc_id), F.col(text)))
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    found = keyed(docs, doc_id, text).join(kept, ["_k1", "_k2"], "left_semi")
+    return found.dropDuplicates(["_k1", "_k2"]).select("_doc.*")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, ship
+from .common import cut, keyed, row_key, ship
 
 #: Labelled documents that the fit uses at most, about (a hash-random sample); features at most.
 MOST_LABELLED, MOST_FEATURES = 20_000, 4096
@@ -208,5 +208,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``docs``, all columns, without the rows whose text is predicted to be toxic."""
     bad = score(docs, train(docs, labels, doc_id, text, label), doc_id, text).where("predicted = 1").select("_k1", "_k2").distinct()
-    keyed = docs.select("*", *row_key(F.col(doc_id), F.col(text)))
-    return keyed.join(bad, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    return keyed(docs, doc_id, text).join(bad, ["_k1", "_k2"], "left_anti").select("_doc.*")
