@@ -642,6 +642,119 @@ def seed_block_bootstrap(spark, sf):
     return resample.seed_bootstrap(d, drawn, resample.draw_starts(spark, lengths, replicates=200, seed=43))
 
 
+# --- further profiling and reporting
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}) select feature, count(distinct case when x is not null then entity end) as entities from l group by 1""")
+def any_value_entities(spark, sf):
+    d = panels.reports(spark, sf)
+    per = d.groupBy("entity").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in FEATURES])
+    return quality.melt(per, {c: F.count_if(c) for c in FEATURES}, value="entities")
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}) select feature, count(distinct x) as levels, round(var_samp(x), 4) as variance from l group by 1""")
+def feature_variation(spark, sf):
+    long = panels.reports(spark, sf).unpivot([], FEATURES, "feature", "x")
+    return rounded(long.groupBy("feature").agg(F.countDistinct("x").alias("levels"), F.var_samp("x").alias("variance")), "variance", places=4)
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), m as (select feature, avg((x is null)::int) as share, stddev_samp(x) / nullif(abs(avg(x)), 0) as cv from l group by 1)
+select arg_min(feature, (share, feature)) as fullest, arg_max(feature, (share, feature)) as emptiest, arg_max(feature, (cv, feature)) as widest, arg_min(feature, (cv, feature)) as narrowest from m""")
+def representative_features(spark, sf):
+    long = panels.reports(spark, sf).unpivot([], FEATURES, "feature", "x")
+    m = long.groupBy("feature").agg(F.avg(F.col("x").isNull().cast("int")).alias("share"), F.try_divide(F.stddev_samp("x"), F.abs(F.avg("x"))).alias("cv"))
+    at = lambda f, c: f("feature", F.struct(c, "feature"))
+    return m.agg(at(F.min_by, "share").alias("fullest"), at(F.max_by, "share").alias("emptiest"), at(F.max_by, "cv").alias("widest"), at(F.min_by, "cv").alias("narrowest"))
+
+
+@query(f"""with {REPORTS_SQL}, {PRICES_SQL}, s as (
+  select log10(p.p_price * r.f_qty) as x from reports r asof join prices p on r.entity = p.entity and r.period_end >= p.p_date where p.p_price * r.f_qty > 0)
+select case when x < 3 then 0 when x >= 8 then 11 else 1 + floor((x - 3) * 2)::int end::int as bucket, count(*) as n from s group by 1""")
+def size_distribution(spark, sf):
+    d = asof.asof_carry(panels.reports(spark, sf).select("entity", "period_end", "f_qty"), panels.prices(spark, sf), "p_price", "entity", "period_end", "entity", "p_date")
+    size = F.col("p_price") * F.col("f_qty")
+    return profile.histogram(d.where(size > 0).withColumn("x", F.log10(size)), "x", 3.0, 8.0, 10)
+
+
+@query(f"""with {EXPANDED_SQL}
+select 1 as stage, 'reports' as name, count(*) as rows, count(distinct entity) as entities from reports union all select 2, 'returns', count(*), count(distinct entity) from ret
+union all select 3, 'expanded', count(*), count(distinct entity) from expanded union all select 4, 'panel', count(*), count(distinct entity) from panel""")
+def stage_audit(spark, sf):
+    found = None
+    for k, (name, d) in enumerate([("reports", panels.reports(spark, sf)), ("returns", _returns(spark, sf)), ("expanded", _expanded(spark, sf)), ("panel", _panel(spark, sf))], 1):
+        one = d.agg(F.count("*").alias("rows"), F.countDistinct("entity").alias("entities")).select(F.lit(k).alias("stage"), F.lit(name).alias("name"), "rows", "entities")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), f as (select unnest(range(1996, 2002)) as year),
+m as (select year::int as year, feature, avg((x is null)::int) > 0.14 as dropped from l join f on year(period_end) < year group by 1, 2),
+t as (select *, dropped <> lag(dropped) over (partition by feature order by year) as toggled from m)
+select feature, count(*) filter (dropped) as dropped_in, count(*) filter (toggled) as toggles from t group by 1""")
+def fold_drop_toggles(spark, sf):
+    """Membership of the missingness drop as train windows grow; more than one toggle is not monotonic."""
+    years = spark.range(1996, 2002).select(F.col("id").cast("int").alias("year"))  # six rows
+    long = panels.reports(spark, sf).withColumn("_y", F.year("period_end")).unpivot(["_y"], FEATURES, "feature", "x")
+    counts = long.groupBy("_y", "feature").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("gone"))
+    m = counts.join(F.broadcast(years), F.col("_y") < F.col("year")).groupBy("year", "feature").agg((F.sum("gone") / F.sum("n") > 0.14).alias("dropped"))
+    t = m.withColumn("toggled", F.col("dropped") != F.lag("dropped").over(Window.partitionBy("feature").orderBy("year")))
+    return t.groupBy("feature").agg(F.count_if("dropped").alias("dropped_in"), F.count_if("toggled").alias("toggles"))
+
+
+@query(f"""with {PREDICTIONS_SQL}, e as (select entity % 3 as seed, year(month) as fold, sqrt(avg((label - prediction / 1000) ** 2)) as rmse from predictions group by 1, 2)
+select fold::int as fold, round(avg(rmse), 6) as rmse, count(*) as seeds from e group by 1""")
+def seed_averaged_rmse(spark, sf):
+    d = _predictions(spark, sf).withColumns({"prediction": F.col("prediction") / 1000, "seed": F.col("entity") % 3, "fold": F.year("month")})
+    return rounded(model.errors(d, "label", ("seed", "fold")).groupBy("fold").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("seeds")), "rmse")
+
+
+@query(f"""with {ARM_SQL}, {_within_sql(['winner', 'base_c'])}, d as (
+  select a.fold, a.month, a.winner - a.base_c as on_lift, b.winner - b.base_c as off_lift from m a join m b using (fold, month) where a.arm = 'on' and b.arm = 'off')
+select fold, round(avg(on_lift), 6) + 0.0 as on_lift, round(avg(off_lift), 6) + 0.0 as off_lift, round(avg(on_lift - off_lift), 6) + 0.0 as difference, count(*) as months from d group by 1""")
+def attribution(spark, sf):
+    d = compare.lifts(panels.arm_ic(spark), "base_c").groupBy("fold")
+    return rounded(d.agg(*[F.avg(c).alias(c) for c in ("on_lift", "off_lift", "difference")], F.count("*").alias("months")), "on_lift", "off_lift", "difference")
+
+
+@query(f"""with {ARM_SQL}, {_within_sql(['winner', 'base_a', 'base_c'])},
+l as (select arm, unnest(['winner', 'base_a', 'base_c']) as predictor, unnest([winner, base_a, base_c]) as ic from m)
+select arm, predictor, round(avg(ic), 6) + 0.0 as mean_ic, round(avg(ic) / stddev_samp(ic), 6) + 0.0 as ic_ir, count(*) as months from l group by 1, 2""")
+def predictor_comparison(spark, sf):
+    ic, names, out = panels.arm_ic(spark), ["winner", "base_a", "base_c"], None
+    for arm in ("on", "off"):
+        d = compare.within_arm(ic, arm, names).unpivot(["fold", "month"], names, "predictor", "ic")
+        one = d.groupBy("predictor").agg(*rk.ic_summary(F.col("ic"))).select(F.lit(arm).alias("arm"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "mean_ic", "ic_ir")
+
+
+@query(f"""with {ARM_SQL}, {_within_sql(['winner', 'base_a', 'base_c'])},
+l as (select arm, 'base_a' as baseline, winner - base_a as lift from m union all select arm, 'base_c', winner - base_c from m),
+t as (select arm, baseline, avg(lift) as lift, least(1.0, exp(-avg(lift) * 10) / 10)::double as p_value from l group by 1, 2),
+s as (select *, (count(*) over (partition by arm) - row_number() over (partition by arm order by p_value, baseline) + 1) * p_value as s from t)
+select arm, baseline, round(lift, 6) + 0.0 as lift, round(p_value, 6) as p_value, round(least(1.0, max(s) over (partition by arm order by p_value, baseline))::double, 6) as adjusted from s""")
+def baseline_family(spark, sf):
+    """Holm within each arm's family of baselines; the p-values are a fixed rule of the lifts."""
+    ic, names, out = panels.arm_ic(spark), ["winner", "base_a", "base_c"], None
+    for arm in ("on", "off"):
+        d = compare.within_arm(ic, arm, names).agg(*[F.avg(F.col("winner") - F.col(b)).alias(b) for b in names[1:]])
+        one = d.unpivot([], names[1:], "baseline", "lift").select(F.lit(arm).alias("arm"), "baseline", "lift")
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("p_value", F.least(F.lit(1.0), F.exp(-F.col("lift") * 10) / 10))
+    return rounded(compare.holm(out, order="baseline", family=("arm",)), "lift", "p_value", "adjusted")
+
+
+SIZES = [(f"fold_0{k + 1}", a, len(e.leaves()), e.depth()) for a, shift in (("on", 0), ("off", 1)) for k, e in enumerate(WINNERS[shift:] + WINNERS[:shift])]
+
+
+@query(f"""with s as (select * from (values {", ".join(map(str, SIZES))}) t(fold, arm, leaves, depth))
+select a.fold, a.leaves as on_leaves, b.leaves as off_leaves, a.depth as on_depth, b.depth as off_depth from s a join s b using (fold) where a.arm = 'on' and b.arm = 'off'""")
+def expression_sizes(spark, sf):
+    d = spark.createDataFrame(SIZES, "fold string, arm string, leaves int, depth int")
+    one = lambda arm: d.where(F.col("arm") == arm).select("fold", F.col("leaves").alias(f"{arm}_leaves"), F.col("depth").alias(f"{arm}_depth"))
+    return one("on").join(one("off"), "fold").select("fold", "on_leaves", "off_leaves", "on_depth", "off_depth")
+
+
 # --- models (no SQL can train them)
 
 
@@ -665,6 +778,26 @@ def search_step(spark, sf):
     return spark.createDataFrame([(str(e), x, e == best) for e, x in known.items()], "expression string, fitness double, best boolean")
 
 
+@query()
+def baseline_fit(spark, sf):
+    """The two fixed predictors alone, and several expressions at once, on one fold."""
+    panel = _split_panel(spark, sf)
+    scorer = search.PanelScorer(panel, FEATURES, trees=2)
+    fixed = search.baseline_predictions(panel, scorer)
+    d = scorer.frame([RATIO, MIXED])
+    inputs = [*scorer.predictors, "e0", "e1"]
+    several = model.fit_predict(d.where("_train"), d.where("not _train"), inputs, scorer.target, ["entity", "target_date"], 2)
+    one = lambda p, name: model.errors(p, scorer.target).select(F.lit(name).alias("model"), "rmse", "n")
+    return one(fixed, "fixed").unionByName(one(several, "several"))
+
+
+@query()
+def random_baseline(spark, sf):
+    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=2)
+    best, scores = search.random_search(scorer, expr.Grammar(["f_qty", "f_rev", "f_n"], most_leaves=2), 3, 42)
+    return spark.createDataFrame([(str(e), x, e == best) for e, x in scores.items()], "expression string, fitness double, best boolean")
+
+
 @query()
 def feature_scores(spark, sf):
     d, columns = _panel(spark, sf), ["f_qty", "f_rev", "f_disc", "f_n"]
