@@ -29,7 +29,7 @@ LANES, BLOCK = 64, 4096
 IMAGE_IDS = 1 << 20
 END_ID = 0
 #: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: The characters that the pre-tokenizer's \s matches (Unicode White_Space).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Marks that a run of letters is parted from (an apostrophe may begin a contraction).
@@ -172,17 +172,18 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(seen)], self.kind).tobytes()
 
     def _ids(self, known: dict[str, bytes], pieces: list[str], space: str) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
         if len(known) > REMEMBERED:  # the pieces met first are mostly the frequent ones
             kept = dict(islice(known.items(), REMEMBERED // 2))
             known.clear()
             known |= kept
-        for piece in set(pieces).difference(known):
-            known[piece] = self._word(piece, space)
-        return b"".join(map(known.__getitem__, pieces))
+        ids = list(map(known.get, pieces))
+        if None in ids:
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                piece = pieces[k]
+                if piece not in known:
+                    known[piece] = self._word(piece, space)
+                ids[k] = known[piece]
+        return b"".join(ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
