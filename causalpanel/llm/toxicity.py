@@ -30,6 +30,8 @@ ROUNDS, RATE, RIDGE = 600, 0.1, 0.02
 SENTENCE, LETTERS = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 #: Counted features that a task holds before it hands them on.
 HELD = 200_000
+#: Words without features that a Python worker remembers.
+CLEAN = 500_000
 
 
 def features(word: str) -> list[str]:
@@ -45,14 +47,19 @@ class Model:
     bias: float | None
 
     def __post_init__(self):
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def known(self, word: str) -> tuple[str, ...]:
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) > HELD:
-                self.seen.clear()
-            found = self.seen[word] = tuple(f for f in features(word) if f in self.weights)
+        self.clean: set[str] = set()
+
+    def told(self, words: set[str]) -> dict[str, list[str]]:
+        """The words that have features of the model, with these."""
+        if len(self.clean) > CLEAN:
+            self.clean.clear()
+        found = {}
+        for w in words - self.clean:
+            own = [f for f in features(w) if f in self.weights]
+            if own:
+                found[w] = own
+            else:
+                self.clean.add(w)
         return found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -61,7 +68,7 @@ class Model:
             return 0.0, []
         low = text.lower()
         low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        told = {w for w in set(LETTERS.findall(low)) if self.known(w)}
+        told = self.told(set(LETTERS.findall(low)))
         if not told:
             n = sum(1 for s in SENTENCE.finditer(low) if LETTERS.search(s[0]))
             return float(-np.expm1(-n * np.logaddexp(0, self.bias))), []
@@ -70,7 +77,7 @@ class Model:
             words = LETTERS.findall(s[0])
             if not words:
                 continue
-            own = {f for w in told.intersection(words) for f in self.known(w)}
+            own = {f for w in words if w in told for f in told[w]}
             z = self.bias + sum(self.weights[f] for f in sorted(own))
             total += float(np.logaddexp(0, z))
             if z >= 0:
