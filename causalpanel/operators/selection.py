@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalpanel.operators.rank import percentile_rank
+from causalpanel.operators import model, quality
+from causalpanel.operators.rank import percentile_rank, spearman
 
 LEAST_PERCENTILE, LEAST_VOTES, CUT = 0.60, 2, 0.20
 
@@ -60,3 +63,50 @@ def greedy_uncorrelated(scores: list[tuple[str, float]], correlation: dict[tuple
         if all(abs(correlation.get((name, k), correlation.get((k, name), 0.0)) or 0.0) <= most for k in kept):
             kept.append(name)
     return kept
+
+
+def bottom_fraction(scores: DataFrame, share: float = 0.10) -> DataFrame:
+    """(feature, score) -> with flagged: the weakest ``share`` of the features, by absolute score, then name."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    order = Window.orderBy(F.coalesce(F.abs("score"), F.lit(-1.0)), "feature")  # a row per feature
+    return scores.withColumn("flagged", F.row_number().over(order) <= F.floor(n * share))
+
+
+def select_features(
+    train: DataFrame, columns: list[str], target: str, entity: str, sector: str, most: int | None = None, trees: int = 100, repeats: int = 5, seed: int = 0, cut: float = CUT,
+) -> dict[str, DataFrame]:
+    """The consensus tables of one fold, from its training rows: scores, consensus, clusters, selected, rejected.
+
+    Three scores vote; what two of them keep is clustered by rank correlation; each cluster gives its
+    representative; a cap may follow. ``rejected`` says at which stage a feature left. Only tables with
+    a row per feature or pair of features reach the driver.
+    """
+    spark = train.sparkSession
+    scored = {
+        "spearman": model.spearman_scores(train, columns, target),
+        "mutual": model.mutual_information(train, columns, target),
+        "forest": model.permutation_importance(train, columns, target, trees, repeats, seed),
+    }
+    scores = None
+    for method, d in scored.items():
+        one = d.select("feature", F.lit(method).alias("method"), "score")
+        scores = one if scores is None else scores.unionByName(one)
+    scores = scores.persist()
+    votes = consensus(scores)
+    kept = sorted(r["feature"] for r in votes.where("kept").collect())
+    filled = train.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in kept])
+    distance = np.ones((len(kept), len(kept)))
+    for r in spearman(filled, list(combinations(kept, 2)), 2).collect() if len(kept) > 1 else []:
+        i, j = kept.index(r["a"]), kept.index(r["b"])
+        distance[i, j] = distance[j, i] = np.nan if r["rho"] is None else 1 - abs(r["rho"])
+    numbers = average_linkage(kept, distance, cut) if kept else {}
+    clusters = spark.createDataFrame(list(numbers.items()), "feature string, cluster int")
+    facts = quality.missing_shares(train, columns).join(quality.coverage(train, columns, entity).withColumnRenamed("covered", "company_coverage"), "feature")
+    facts = facts.join(quality.coverage(train, columns, sector).withColumnRenamed("covered", "sector_coverage"), "feature")
+    ranks = scores.withColumn("spearman", percentile_rank(F.col("score"), ["method"])).where("method = 'spearman'").select("feature", "spearman")
+    chosen = representatives(clusters.join(votes, "feature").join(facts, "feature").join(ranks, "feature", "left"))
+    selected = terminal_cap(chosen, most)
+    left = spark.createDataFrame([(c,) for c in columns], "feature string").join(selected.select("feature"), "feature", "left_anti")
+    told = left.join(votes, "feature", "left").join(clusters, "feature", "left").join(chosen.select("feature", F.lit(True).alias("_chosen")), "feature", "left")
+    stage = F.when(F.col("votes").isNull(), "unscored").when(~F.col("kept"), "consensus").when(F.col("_chosen").isNull(), "cluster").otherwise("cap")
+    return {"scores": scores, "consensus": votes, "clusters": clusters, "selected": selected, "rejected": told.select("feature", stage.alias("stage"))}

@@ -163,3 +163,19 @@ def test_fit_beats_the_mean(spark):
     assert model.errors(p, "y").first()["rmse"] < 0.3
     mi = {r["feature"]: r["score"] for r in model.mutual_information(d, ["a", "b"], "y").collect()}
     assert mi["a"] > 2 * mi["b"]
+
+
+def test_consensus_selection(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        a, b = rng.random(), rng.random()
+        rows.append((k % 10, "s", a, a + 0.001 * rng.random(), b, rng.random(), 1.0, a + 0.5 * b))
+    d = spark.createDataFrame(rows, "entity int, sector string, a double, a2 double, b double, noise double, flat double, y double")
+    found = selection.select_features(d, ["a", "a2", "b", "noise", "flat"], "y", "entity", "sector", trees=10, repeats=2)
+    kept = {r["feature"] for r in found["selected"].collect()}
+    assert len(kept & {"a", "a2"}) == 1 and "noise" not in kept and "flat" not in kept
+    assert {r["feature"]: r["stage"] for r in found["rejected"].collect()}["noise"] == "consensus"
+    assert kept | {r["feature"] for r in found["rejected"].collect()} == {"a", "a2", "b", "noise", "flat"}
+    flagged = selection.bottom_fraction(spark.createDataFrame([("x", 0.1), ("y", -0.5), ("z", None)], "feature string, score double"), 0.4)
+    assert [r["feature"] for r in flagged.where("flagged").collect()] == ["z"]
