@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,10 @@ class PanelScorer:
     trees: int = 85
     metric: str = "ic"
     seed: int = 0
+    threads: int = 4
+
+    def __post_init__(self):
+        self.panel = self.panel.persist()  # every generation reads it again
 
     def frame(self, population: list[Expr]) -> DataFrame:
         required = [self.entity, self.month, *self.predictors, self.target]
@@ -152,24 +158,29 @@ class PanelScorer:
         both = feature_frame(self.panel.where(F.col("split").isin("train", self.on)), population, self.leaves, self.entity, self.date, required)
         d = train.unionByName(both.where(F.col("split") == self.on)).withColumn("_train", F.col("split") == "train")
         names = [f"e{k}" for k in range(len(population))]
-        d = d.withColumns({f"e{k}": F.when(F.col(f"m{k}"), F.col(f"e{k}")) for k in range(len(population))})
+        d = d.withColumns({f"e{k}": F.when(F.col(f"m{k}"), F.col(f"e{k}")) for k in range(len(population))}).persist()
         return winsorize(d, F.col("_train"), names)
 
     def predictions(self, d: DataFrame, k: int, name: str) -> DataFrame:
         inputs = [*self.predictors, f"e{k}"]
         return fit_predict(d.where("_train"), d.where("not _train"), inputs, self.target, [self.entity, self.month], self.trees, seed=derive_seed(self.seed, name))
 
+    def score(self, d: DataFrame, k: int, name: str) -> float:
+        p = self.predictions(d, k, name)
+        if self.metric == "ic":
+            x = monthly_rank_ic(p, self.month, self.target).agg(F.avg("ic")).first()[0]
+        else:
+            x = errors(p, self.target).first()["rmse"]
+            x = None if x is None else -x
+        return float("-inf") if x is None else float(x)
+
     def __call__(self, population: list[Expr]) -> dict[Expr, float]:
+        """One frame for all; the fits, small jobs in long rows, run side by side."""
         d = self.frame(population).persist()
-        found = {}
-        for k, e in enumerate(population):
-            p = self.predictions(d, k, str(e))
-            if self.metric == "ic":
-                x = monthly_rank_ic(p, self.month, self.target).agg(F.avg("ic")).first()[0]
-            else:
-                x = errors(p, self.target).first()["rmse"]
-                x = None if x is None else -x
-            found[e] = float("-inf") if x is None else float(x)
+        d.count()
+        run = inheritable_thread_target(d.sparkSession)(lambda k, e: self.score(d, k, str(e)))
+        with ThreadPoolExecutor(self.threads) as pool:
+            found = dict(zip(population, pool.map(run, range(len(population)), population), strict=True))
         d.unpersist()
         return found
 
