@@ -20,6 +20,8 @@ LEAST_DOCS = 10
 #: A recurring template's tokens are constant to this share at least.
 CONSTANT = 0.5
 VARIABLE = "<*>"
+#: Wanted lines that are broadcast at most (about 50 bytes each); more meet their texts by a shuffle.
+BROADCAST_LINES = 200_000
 
 
 def _tokens(line: str) -> Column:
@@ -44,9 +46,12 @@ def _templates(known: DataFrame, docs: DataFrame, least_docs: int) -> DataFrame:
     gives its tokens.
     """
     wanted = known.groupBy("first._k1", "first._k2").agg(F.collect_list(F.struct("first.no", "leaf", "line", "docs")).alias("_wanted"))
-    found = docs.join(wanted, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    if known.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    found = docs.join(wanted, ["_k1", "_k2"])
     found = found.withColumn("_all", F.split("text", "\n")).select("_all", F.explode("_wanted").alias("w"))
     found = found.select("w.leaf", "w.line", "w.docs", F.get("_all", F.col("w.no")).alias("_line"))
+    found = found.dropDuplicates(["leaf", "line"])  # a text may come in several rows
     placed = cut(found.select("leaf", "line", "docs", F.posexplode(_tokens("_line")).alias("pos", "token")))
     shared = placed.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("_df")).where((F.col("_df") >= least_docs) & (F.col("token") != VARIABLE))
     shared = cut(shared.select("leaf", "pos", "token", F.lit(True).alias("_constant")))
