@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again.
+
+    A checkpoint keeps its plan's size estimate, which joins multiply; over many rounds it grows to
+    numbers whose products take the driver minutes. A stored table has the size of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session's context."""
     context = spark.sparkContext

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +22,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(hashed)).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(u, v) long edges -> (node, root): root is the least node of node's component.
 
     Nodes without edges are not returned; nulls and loops are ignored. Each round hangs every larger
     neighbour, then every smaller one, on the least neighbour, until only stars around the least
-    nodes are left: O(log n) rounds in practice. All state is in tables; nothing is collected.
+    nodes are left: O(log n) rounds in practice. All state is in tables; nothing is collected. ``settle``
+    materialises a round's edges.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
+    e = settle(e)
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(_lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _lowest(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = cut(small.where("u <> v").distinct())
+        e = settle(small.where("u <> v").distinct())
         state, before = _state(e), state
         if state == before:
             break

@@ -10,13 +10,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causalpanel.llm import linededup, mixing, packing, simhash, toxicity
+from causalpanel.llm import linededup, mixing, packing, similar, toxicity
 from causalpanel.llm.common import checkpoint_dir
 
-#: Five words in a shingle; eight 64-bit prints, of whose 512 bits texts of Jaccard similarity 0.8
-#: differ in 78 on average (512 * arccos(2 * 0.8 / 1.8) / pi), with a standard deviation of 8;
-#: the threshold is a little above, so that nine in ten such pairs and all closer ones are linked.
-SHINGLE, WIDTH, DISTANCE = 5, 8, 88
+#: Five words in a shingle. Texts at a similarity of 0.8 differ in 78 of the 512 bits of their wide
+#: SimHash prints on average, almost never in more than DISTANCE; the stage itself compares the sets.
+SHINGLE, DISTANCE = 5, 88
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +36,11 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at a similarity of about 0.8 or more, the least doc_id stays.
+    """Of each group of texts at a Jaccard similarity of 0.8 or more, exactly, the least doc_id stays.
 
-    Texts without words (null, empty) are one group.
+    Groups are the components of such pairs. Texts without words (null, empty) are one group.
     """
-    return simhash.drop_near_duplicates(docs, size=SHINGLE, width=WIDTH, distance=DISTANCE)
+    return similar.drop_near_duplicates(docs, size=SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
