@@ -229,7 +229,7 @@ def near_duplicates(
 
     ``size``: words in a shingle. ``width`` 1 links fingerprints at ``distance`` bits or fewer,
     exactly. Wider prints (64 * width bits) are compared where they share one of ``4 * width`` runs
-    of 16 bits. A text of fewer words is one shingle, one of no words (null and empty) has the zero
+    of 16 bits, which may miss pairs (``similar`` is exact at a similarity). A text of fewer words is one shingle, one of no words (null and empty) has the zero
     print, linked like any other. ``component_id`` is the least doc_id reachable; null ids count
     only where a component has no other. Repeated rows come back each time; other columns are not
     read; an empty table gives an empty result.

@@ -59,3 +59,33 @@ def test_pairs_below_the_similarity_stay(spark):
     for k, text in enumerate(texts_of(rng, 60, 300)):
         texts |= {2 * k: text, 2 * k + 1: changed(rng, text, 0.79)}
     assert kept(spark, texts) == first_of_groups(texts) == set(texts)
+
+
+def test_no_pair_at_the_similarity_is_lost(spark):
+    """Every pair just at 0.8 is found; the wide SimHash rule lost one in seven of them."""
+    rng, texts = random.Random(2), {}
+    for k, text in enumerate(texts_of(rng, 150, 300)):
+        near = text.split()
+        while True:
+            other = [*near]
+            other[rng.randrange(300)] = f"new{k}x{len(texts)}x{rng.random()}"
+            one, two = shingles(text), shingles(" ".join(other))
+            if len(one & two) / len(one | two) < 0.8:
+                break
+            near = other
+        texts |= {2 * k: text, 2 * k + 1: " ".join(near)}
+    assert kept(spark, texts) == first_of_groups(texts) == set(range(0, 300, 2))
+
+
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_levels_and_large_groups_lose_nothing(spark, monkeypatch, common):
+    monkeypatch.setattr(similar, "COMMON", common)
+    rng = random.Random(3)
+    base = texts_of(rng, 4, 60)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = {}
+    for k in range(160):
+        text = base[k % 4] if k < 120 else " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + " " + passage
+        texts[k] = changed(rng, text, rng.choice([0.95, 0.85, 0.75, 0.65])) if k < 120 else text
+    texts |= {200: "a b c d", 201: "A  b c\nd", 202: "a b c d e", 203: "", 204: " \n", 205: base[0].upper()}
+    assert kept(spark, texts) == first_of_groups(texts)
