@@ -3,7 +3,8 @@
 The tree has a fixed depth: a line goes down by its token count, then by its first tokens (tokens
 with digits count as a variable). In a leaf, a token that too few documents share at its place is a
 variable as well; what is left is the line's template. Templates that recur across documents are
-dropped everywhere but where they first occur.
+dropped everywhere but where they first occur. A line that recurs word for word needs no evidence
+for a template: fewer documents are enough.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, keyed, row_key, words
 
-#: Leading tokens in a path; shorter lines than one token more have no leaf and always stay.
+#: Leading tokens in a path; a line of no more tokens has a leaf of its own, of all its tokens.
 DEPTH = 3
 #: Documents that make a token at its place constant, and a template recurring.
 LEAST_DOCS = 10
+#: Documents that must share a line of more than DEPTH words word for word, and one of over LONG words.
+VERBATIM_DOCS, LONG_DOCS, LONG = 3, 2, 50
 #: A recurring template's tokens are constant to this share at least.
 CONSTANT = 0.5
 VARIABLE = "<*>"
@@ -30,13 +33,17 @@ def _tokens(line: str) -> Column:
     return F.when(F.col(line).rlike("[0-9]"), F.transform(found, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x))).otherwise(found)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _k1, _k2, no, leaf, line (hashes), n (tokens), var (variables) of lines with a leaf."""
+def _lines(docs: DataFrame, least_tokens: int, verbatim: bool) -> DataFrame:
+    """doc_id, _k1, _k2, no, leaf, line (hashes), n (tokens), var (variables) of lines with a leaf.
+
+    With ``verbatim`` also raw, the hash of the words with their digits.
+    """
     d = docs.select("doc_id", "_k1", "_k2", F.posexplode(F.split("text", "\n")).alias("no", "_line"))
-    d = d.withColumn("_t", _tokens("_line")).where(F.size("_t") > DEPTH)
+    d = d.withColumn("_t", _tokens("_line")).where(F.size("_t") >= least_tokens)
     variables = F.when(F.col("_line").rlike("[0-9]"), F.size(F.filter("_t", lambda x: x == VARIABLE))).otherwise(0)
     path = [F.get("_t", F.lit(k)) for k in range(DEPTH)]
-    return d.select("doc_id", "_k1", "_k2", "no", F.xxhash64(F.size("_t"), *path).alias("leaf"), F.xxhash64("_t").alias("line"), F.size("_t").alias("n"), variables.alias("var"))
+    raw = [F.when(F.col("_line").rlike("[0-9]"), F.xxhash64(words(F.col("_line")))).otherwise(F.xxhash64("_t")).alias("raw")] if verbatim else []
+    return d.select("doc_id", "_k1", "_k2", "no", F.xxhash64(F.size("_t"), *path).alias("leaf"), F.xxhash64("_t").alias("line"), F.size("_t").alias("n"), variables.alias("var"), *raw)
 
 
 def _templates(known: DataFrame, docs: DataFrame, least_docs: int) -> DataFrame:
@@ -63,13 +70,22 @@ def _templates(known: DataFrame, docs: DataFrame, least_docs: int) -> DataFrame:
     return marked.select("leaf", "line", F.xxhash64("_t.token", F.lit("template")).alias("template"), "n", "var")
 
 
-def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def _verbatim(lines: DataFrame, place: Column) -> DataFrame:
+    """raw, _first: lines that enough documents share word for word, and where they first occur."""
+    known = lines.where(F.col("n") > DEPTH).groupBy("raw", "n", "_k1", "_k2").agg(F.min(place).alias("first"))
+    known = known.groupBy("raw", "n").agg(F.count("*").alias("_docs"), F.min("first").alias("_first"))
+    return cut(known.where(F.col("_docs") >= F.when(F.col("n") > LONG, LONG_DOCS).otherwise(VERBATIM_DOCS)).select("raw", "_first"))
+
+
+def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, short: bool = True, verbatim: bool = False) -> DataFrame:
     """_k1, _k2, drop (line numbers, sorted) for documents that lose lines.
 
     ``docs`` has doc_id, text, _k1, _k2. Rows that repeat (equal id and text) count as one document.
     A template's first occurrence is the one of the least doc_id (null last), then the first line.
+    ``short``: lines of DEPTH tokens or fewer count too; ``verbatim``: so do lines that VERBATIM_DOCS
+    (LONG_DOCS) documents share word for word.
     """
-    lines = cut(_lines(docs).dropDuplicates(["_k1", "_k2", "no"]))
+    lines = cut(_lines(docs, 1 if short else DEPTH + 1, verbatim).dropDuplicates(["_k1", "_k2", "no"]))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "no")
     known = lines.groupBy("leaf", "line", "n", "var", "_k1", "_k2").agg(F.min(place).alias("first"))
     known = cut(known.groupBy("leaf", "line", "n", "var").agg(F.count("*").alias("docs"), F.min("first").alias("first")))
@@ -81,12 +97,14 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     often = named.groupBy("leaf", "template", "n", "var").agg(F.sum("docs").alias("_docs"), F.min("first").alias("_first"))
     often = often.where((F.col("_docs") >= least_docs) & (F.col("n") - F.col("var") >= CONSTANT * F.col("n")))
     gone = cut(named.join(cut(often.select("leaf", "template", "_first")), ["leaf", "template"]).select("leaf", "line", "_first"))
-    hit = lines.join(gone, ["leaf", "line"])
+    hit = lines.join(gone, ["leaf", "line"]).select("_k1", "_k2", "no", "_first")
+    if verbatim:
+        hit = hit.unionByName(lines.join(_verbatim(lines, place), "raw").select("_k1", "_k2", "no", "_first"))
     first = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2")) & (F.col("_first.no") == F.col("no"))
-    return hit.where(~first).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("no")).alias("drop"))
+    return hit.where(~first).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text", short: bool = True, verbatim: bool = False) -> DataFrame:
     """``docs``, all rows and columns, with ``text`` cut and ``_n_lines``, ``_n_dropped`` added.
 
     Lines are split at line feeds; those that stay are joined again, so a text that loses none is
@@ -94,7 +112,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id:
     there is such a column, follows. An empty table gives an empty result.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(F.col(doc_id), F.col(text))).where("text is not null")
-    d = keyed(docs, doc_id, text).join(recurring(plain, least_docs), ["_k1", "_k2"], "left")
+    d = keyed(docs, doc_id, text).join(recurring(plain, least_docs, short, verbatim), ["_k1", "_k2"], "left")
     body = F.col(f"_doc.{text}")
     d = d.select("_doc", "drop", F.split(body, "\n").alias("_all"))
     d = d.withColumn("_stay", F.when(F.col("drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "drop")))

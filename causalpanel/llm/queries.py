@@ -51,7 +51,8 @@ from e
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    # The rule of OP2_SQL; the operator's own default, which the pipeline has, drops more.
+    found = linededup.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"), short=False, verbatim=False)
     return found.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
 
 
