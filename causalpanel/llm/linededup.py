@@ -77,7 +77,7 @@ def _verbatim(lines: DataFrame, place: Column) -> DataFrame:
     return cut(known.where(F.col("_docs") >= F.when(F.col("n") > LONG, LONG_DOCS).otherwise(VERBATIM_DOCS)).select("raw", "_first"))
 
 
-def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, short: bool = True, verbatim: bool = False) -> DataFrame:
+def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, short: bool = True, verbatim: bool = True) -> DataFrame:
     """_k1, _k2, drop (line numbers, sorted) for documents that lose lines.
 
     ``docs`` has doc_id, text, _k1, _k2. Rows that repeat (equal id and text) count as one document.
@@ -104,7 +104,7 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, short: bool = True,
     return hit.where(~first).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text", short: bool = True, verbatim: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text", short: bool = True, verbatim: bool = True) -> DataFrame:
     """``docs``, all rows and columns, with ``text`` cut and ``_n_lines``, ``_n_dropped`` added.
 
     Lines are split at line feeds; those that stay are joined again, so a text that loses none is
