@@ -27,8 +27,8 @@ MOST_COMMON = 200_000
 #: Texts that are looked up by broadcast names at most (24 bytes each); more meet them by a shuffle.
 BROADCAST_ROWS = 262_144
 LEVEL_BITS = 2
-#: One in this many shingles joins neighbours in the first round.
-FIRST_ROUND = 4
+#: In the first round one in FIRST_ROUND shingles that more than LARGE sets share joins neighbours.
+FIRST_ROUND, LARGE = 4, 32
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -148,9 +148,9 @@ def links(known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
     similarity, whose components are those of all such pairs."""
     dealt = known.select(F.explode("start").alias("key"), "v", "n", F.get("start", F.size("start") - 1).alias("last"))
     whole = Window.partitionBy("key")
-    shared = cut(dealt.withColumn("_c", F.count("*").over(whole)).where("_c > 1").drop("_c"))
+    shared = cut(dealt.withColumn("_c", F.count("*").over(whole)).where("_c > 1"))
     line = Window.partitionBy("key").orderBy("n", "v")
-    chain = shared.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_ROUND)) == 0).select("v", "n", F.lag("v").over(line).alias("u"), F.lag("n").over(line).alias("m"))
+    chain = shared.where(F.col("_c") > LARGE).where(F.pmod(F.xxhash64("key"), F.lit(FIRST_ROUND)) == 0).select("v", "n", F.lag("v").over(line).alias("u"), F.lag("n").over(line).alias("m"))
     chain = cut(chain.where(F.col("u").isNotNull() & _near_in_size(F.col("n"), F.col("m"))).select("u", "v").distinct())
     first = _alike(chain, known, plain, size)
     rooted = components(first, stored).withColumnRenamed("node", "v")

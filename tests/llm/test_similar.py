@@ -80,6 +80,7 @@ def test_no_pair_at_the_similarity_is_lost(spark):
 @pytest.mark.parametrize("common", [2, 10**9])
 def test_levels_and_large_groups_lose_nothing(spark, monkeypatch, common):
     monkeypatch.setattr(similar, "COMMON", common)
+    monkeypatch.setattr(similar, "LARGE", 4)
     rng = random.Random(3)
     base = texts_of(rng, 4, 60)
     passage = " ".join(f"p{k}" for k in range(40))
