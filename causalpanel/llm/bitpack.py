@@ -31,7 +31,7 @@ END_ID = 0
 #: Pieces of text whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 #: The characters that the pre-tokenizer's \s matches (Unicode White_Space).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that a run of letters is parted from (an apostrophe may begin a contraction).
 MARKS = ".,;:!?"
 
@@ -132,15 +132,18 @@ class Encoder:
     """A tokenizer of the tokenizers library that remembers the ids of pieces of text.
 
     With a byte-level pre-tokenizer no token spans a step from a character to white space, so a text
-    may be cut there and each piece encoded by itself. Any other tokenizer encodes whole texts.
+    may be cut there and each piece encoded by itself. Any other tokenizer encodes whole texts, and so
+    is a text encoded that holds the string of an added token (a special one, say): the library looks
+    for those before it pre-tokenizes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         said = json.loads(self.tokenizer.to_str())
+        added = sorted(filter(None, (t["content"] for t in said.get("added_tokens") or ())), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pre = said.get("pre_tokenizer") or {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
         self.cuts = byte_level and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
@@ -187,7 +190,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if not self.cuts:
+        if not self.cuts or (self.added and self.added.search(text)):
             return np.frombuffer(self._whole(text), self.kind)
         if ADJACENT.search(text):
             return np.frombuffer(self._ids(self.bare, PIECE.findall(text), ""), self.kind)
@@ -243,7 +246,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32, part, seq, nth."""
+    """Per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32, part, seq, nth.
+
+    A null doc_id comes back null; repeated rows come back each time; files without images (an empty
+    table) give no rows. ``start`` counts the ids of all documents before, in the files' order.
+    """
     import pyarrow as pa
 
     ship(spark)
@@ -277,7 +284,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Write the files under the shared checkpoint folder and describe the documents read back."""
+    """Write the files under the shared checkpoint folder and describe the documents read back.
+
+    Nulls, empty texts, repeats, an empty table and other columns are as for ``write_token_files``
+    and ``read_documents``: a row per row of ``docs``.
+    """
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer, **options)

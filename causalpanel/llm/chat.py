@@ -1,7 +1,7 @@
 """Chat formatting with tool-call linking.
 
 Messages become events: plain messages, calls and results. Results are hash-joined to calls by
-(conversation, identifier); calls that wait for other calls get levels by joins, round by round;
+(conversation, identifier); calls that wait for later calls get levels by joins, round by round;
 arguments are validated against schemas; every event is serialised as canonical JSON and placed.
 """
 
@@ -30,7 +30,8 @@ def events(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     An assistant's text that is a JSON object with ``tool_calls`` gives a call for each of them, a
     tool's with ``tool_call_id`` a result; anything else is a message. In a conversation without
     such texts a user's turn is a call of ``answer`` and an assistant's turn the result of the turn
-    before it: see ``exchanges``.
+    before it: see ``exchanges``. Null texts and roles are messages, repeated rows are events of their
+    own, an empty table gives no events; other columns are not read.
     """
     d = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     brace = F.coalesce(F.ltrim(F.col("text")).startswith("{"), F.lit(False))
@@ -80,25 +81,34 @@ def faults(name: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 for a call that waits for none, else one more than the deepest it
-    waits for; null for calls in a circle or behind one. A round for each level of references."""
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("other"))
-    waits = cut(waits.join(calls.select("conv_id", F.col("call_id").alias("other")), ["conv_id", "other"], "left_semi").distinct())
-    level, n = None, 0
-    left = cut(waits.select("conv_id", "call_id", "other"))
-    known = calls.select("conv_id", "call_id").join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    while True:
-        level = known if level is None else cut(level.unionByName(known))
-        count = left.count()
-        if not count:
-            return level
-        ready = left.join(level.select("conv_id", F.col("call_id").alias("other")), ["conv_id", "other"], "left_anti").select("conv_id", "call_id").distinct()
-        n += 1
-        known = cut(left.select("conv_id", "call_id").distinct().join(ready, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(n)))
-        left = cut(left.join(known, ["conv_id", "call_id"], "left_anti"))
-        if left.count() == count:
-            rest = left.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-            return level.unionByName(known).unionByName(rest)
+    """conv_id, call_id, level, late: the place of calls that need more than their own.
+
+    ``calls``: conv_id, call_id, at (turn, nth, _tag), after. Where every call of a conversation waits
+    only for calls before it, the order of the calls is topological as it stands, however long a chain
+    is, and nothing is returned. In the others ``level`` is 0 for a call that waits for none, else one
+    more than the deepest it waits for, and ``late`` the latest turn among itself and all that it waits
+    for; both are null for calls in a circle or behind one. A round for each level of those.
+    """
+    waits = calls.select("conv_id", "call_id", "at", F.explode("after").alias("other"))
+    others = calls.select("conv_id", F.col("call_id").alias("other"), F.col("at").alias("_at"))
+    waits = cut(waits.join(others, ["conv_id", "other"]).distinct())
+    back = cut(waits.where(F.struct("_at.turn", "_at.nth") >= F.struct("at.turn", "at.nth")).select("conv_id").distinct())
+    waits = waits.join(back, "conv_id", "left_semi")
+    left = cut(waits.select("conv_id", "call_id", "other", F.col("at.turn").alias("turn")))
+    known = calls.join(back, "conv_id", "left_semi").join(left, ["conv_id", "call_id"], "left_anti")
+    known = cut(known.select("conv_id", "call_id", F.lit(0).alias("level"), F.col("at.turn").alias("late")))
+    while left.count():
+        seen = left.join(known.withColumnRenamed("call_id", "other"), ["conv_id", "other"], "left")
+        ready = seen.groupBy("conv_id", "call_id").agg(
+            (F.count("level") == F.count("*")).alias("_all"), (F.max("level") + 1).alias("level"), F.greatest(F.max("turn"), F.max("late")).alias("late")
+        )
+        ready = cut(ready.where("_all").drop("_all"))
+        if not ready.count():
+            none = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("late")]
+            return known.unionByName(left.select("conv_id", "call_id", *none).distinct())
+        known = cut(known.unionByName(ready))
+        left = cut(left.join(ready, ["conv_id", "call_id"], "left_anti"))
+    return known
 
 
 def link(found: DataFrame, schemas: Schemas) -> DataFrame:
@@ -106,8 +116,8 @@ def link(found: DataFrame, schemas: Schemas) -> DataFrame:
 
     ``status``: message; call: answered, unanswered, invalid (its arguments), duplicate (a later one
     of an identifier) or cyclic; result: linked or orphan. ``position`` numbers a conversation's
-    events from 0: by turn, but a call comes after the calls that it waits for, and a result right
-    after its call. ``json`` is canonical: keys in order, no white space, null fields left out.
+    events from 0: by turn, but a call comes after the calls that it waits for (at the turn of the
+    latest of all those, if that is later than its own), and a result right after its call. ``json`` is canonical: keys in order, no white space, null fields left out.
     Events without conversation, turn or identifier never link; they are placed by what they have,
     null turns last. Repeated rows are events of their own. An empty table gives an empty result.
     """
@@ -116,12 +126,12 @@ def link(found: DataFrame, schemas: Schemas) -> DataFrame:
     here = F.struct(F.coalesce("turn", F.lit((1 << 62))).alias("turn"), "nth", "_tag")
     first = named.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("after", here.alias("at")), here).alias("c"))
     calls = cut(first.select("conv_id", "call_id", "c.at", "c.after"))
-    placed = calls.select("conv_id", "call_id", "at").join(_levels(calls), ["conv_id", "call_id"], "left")
+    levels = _levels(calls).withColumn("_hard", F.lit(True))
+    placed = calls.select("conv_id", "call_id", "at").join(levels, ["conv_id", "call_id"], "left")
+    placed = placed.withColumns({"level": F.when(F.col("_hard"), F.col("level")).otherwise(0), "late": F.coalesce("late", "at.turn")})
     replied = d.where((F.col("kind") == "result") & F.col("call_id").isNotNull()).select("conv_id", "call_id").distinct().withColumn("_replied", F.lit(True))
-    placed = cut(placed.join(replied, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("at").alias("_at"), "level", "_replied", F.lit(True).alias("_named")))
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("other")).join(calls.select("conv_id", F.col("call_id").alias("other"), F.col("at.turn").alias("_t")), ["conv_id", "other"])
-    latest = cut(waits.groupBy("conv_id", "call_id").agg(F.max("_t").alias("_late")))
-    d = d.join(placed, ["conv_id", "call_id"], "left").join(latest, ["conv_id", "call_id"], "left")
+    placed = cut(placed.join(replied, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("at").alias("_at"), "level", F.col("late").alias("_late"), "_replied", F.lit(True).alias("_named")))
+    d = d.join(placed, ["conv_id", "call_id"], "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     d = d.withColumn("faults", F.when(call, faults(F.col("name"), F.col("arguments"), schemas)))
     same = F.col("_at._tag") == F.col("_tag")

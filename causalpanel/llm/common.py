@@ -18,11 +18,18 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
-    holder = spark.sparkContext._jsc.sc()
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (tests) gets a temporary one; a cluster gets an error, since its
+    executors would not find what lies in the driver's own folder.
+    """
+    context = spark.sparkContext
+    holder = context._jsc.sc()
     if holder.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="causalpanel-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="causalpanel-"))
     return holder.getCheckpointDir().get()
 
 
@@ -43,6 +50,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session's context."""
     context = spark.sparkContext
@@ -81,6 +95,12 @@ def keyed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(whole, *row_key(*[F.col(n) for n in names]))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row in ``_doc``, for an order among rows that share their keys (maps count as equal)."""
+    kept = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.xxhash64(*[F.col(f"_doc.`{c}`") for c in kept])
+
+
 def hash_bits(rows: int, per_bucket: int, most: int = 40) -> int:
     """Bits of a uniform hash that cut ``rows`` rows into buckets of about ``per_bucket``."""
     return min(most, max(0, math.ceil(math.log2(max(rows, 1) / per_bucket))))

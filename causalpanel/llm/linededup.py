@@ -104,8 +104,12 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, short: bool = True,
     return hit.where(~first).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text", short: bool = True, verbatim: bool = True) -> DataFrame:
-    """``docs``, all rows and columns, with ``text`` cut and ``_n_lines``, ``_n_dropped`` added.
+def drop_recurring_lines(
+    docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text", short: bool = True, verbatim: bool = True, counted: tuple[str, str] | None = ("_n_lines", "_n_dropped"),
+) -> DataFrame:
+    """``docs``, all rows and columns, with ``text`` cut and two counts added: lines, dropped lines.
+
+    ``counted`` names the counts (None: they are left out, whatever columns ``docs`` has).
 
     Lines are split at line feeds; those that stay are joined again, so a text that loses none is
     unchanged. A null text stays null and has no lines; an empty one has one. ``n_chars``, if
@@ -122,4 +126,5 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id:
     out[text] = F.col("_text")
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("_n_dropped") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
-    return d.select(*[c.alias(name) for name, c in out.items()], F.greatest("_n_lines", F.lit(0)).cast("long").alias("_n_lines"), F.greatest("_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    counts = [F.greatest(c, F.lit(0)).cast("long").alias(name) for c, name in zip(("_n_lines", "_n_dropped"), counted or (), strict=False)]
+    return d.select(*[c.alias(name) for name, c in out.items()], *counts)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_offsets, cut, hash_bits, keyed, n_words, row_key, words
+from .common import bucket_offsets, cut, hash_bits, keyed, n_words, row_hash, row_key, words
 
 #: Weights by a source's place in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -22,9 +22,9 @@ SEED = "mix"
 PER_RANGE = 512
 
 
-def mix_key(doc_id: Column, seed: str = SEED) -> Column:
-    """60 hash-random bits of a document, as a long."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def mix_key(doc_id: Column, unnamed: Column, seed: str = SEED) -> Column:
+    """60 hash-random bits of a document, as a long; ``unnamed`` tells rows without an id apart."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), unnamed)))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -51,6 +51,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """``d`` with _copy: the rows without an id that repeat (_k1, _k2) are numbered from 0, others null.
+
+    Copies are counted by input partition first, so that no window holds more than one partition's:
+    their keys then lie as far apart as those of different documents, and no range is theirs alone.
+    """
+    named = d.where("doc_id is not null").withColumn("_copy", F.lit(None).cast("long"))
+    rest = d.where("doc_id is null").withColumn("_part", F.spark_partition_id())
+    rest = cut(rest)
+    counts = rest.groupBy("_k1", "_k2", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_k1", "_k2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_k1", "_k2", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2", "_part").orderBy("size")) - 1
+    rest = rest.withColumn("_nth", nth).join(counts, ["_k1", "_k2", "_part"])
+    return named.unionByName(rest.withColumn("_copy", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before"))
+
+
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -69,7 +86,7 @@ def mix(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_src"), n_words(F.col(text)).alias("size"),
         *row_key(F.col(doc_id), F.col(text), F.col(source)),
     )
-    d = cut(d.withColumn("_key", mix_key(F.col("doc_id"), seed)))
+    d = cut(_numbered(d).withColumn("_key", mix_key(F.col("doc_id"), F.concat_ws(":", "_k1", "_k2", "_copy"), seed)).drop("_copy"))
     named = ["_null", "_src"]
     sizes = d.groupBy(*named).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     sizes = cut(sizes)
@@ -103,7 +120,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     so_far = Window.partitionBy("_k1", "_k2").orderBy("epochs", "part", "size")
     plan = plan.withColumn("_upto", F.sum("_n").over(so_far)).groupBy("_k1", "_k2")
     plan = plan.agg(F.sort_array(F.collect_list(F.struct("_upto", "epochs", "part", "size"))).alias("_plans"))
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(row_hash(docs)))
     d = keyed(docs, doc_id, text, source).join(plan, ["_k1", "_k2"]).withColumn("_nth", nth)
     d = d.withColumn("_plan", F.element_at(F.filter("_plans", lambda p: p["_upto"] >= F.col("_nth")), 1))
     full = F.when(F.col("_plan.epochs") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("_plan.epochs").cast("int"))).otherwise(F.array().cast("array<bigint>"))

@@ -1,7 +1,8 @@
 """Quality rules with host verdicts.
 
-Every document is measured and judged by itself; failures are aggregated by host; each host's rate
-is shrunk with an empirical beta prior; the verdict goes back to the host's documents.
+Every document is measured and judged by rules; failures are aggregated by host and rule; each host's
+rates are shrunk with empirical beta priors; a host that fails a rule surely fails with all its
+documents.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ from .common import cut, words
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: A host fails if its shrunk failure rate is above this.
-HOST_RATE = 0.5
-#: The prior counts as this many documents at least and at most.
+#: Counted against hosts only: symbols beyond this percent of the words' characters, and repeated lines
+#: beyond this percent of the words.
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 5
+#: A host fails if, SURE posterior deviations below its shrunk rate, it is still above both this share
+#: and the rate of the whole corpus.
+HOST_RATE, SURE = 0.5, 2.0
+#: A prior counts as this many documents at least and at most.
 PRIOR_RANGE = (1.0, 1000.0)
+RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -47,33 +53,45 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shrunk_rates(hosts: DataFrame) -> DataFrame:
-    """(host, docs, failed) rows -> with ``rate``, shrunk by a beta prior fitted to the hosts.
+    """(rule, host, docs, failed) rows -> with ``prior``, ``rate`` and ``spread`` by a beta prior per rule.
 
-    The prior has the mean and the variance of the hosts' raw rates (method of moments); its weight
-    is kept within ``PRIOR_RANGE`` and is the largest where the rates do not vary.
+    The prior's mean is the corpus rate. Its weight follows from moments of a beta-binomial: the hosts'
+    spread beyond what their sizes alone would give, large hosts counting for more; it is kept within
+    ``PRIOR_RANGE`` and is the largest where nothing is beyond. ``rate`` and ``spread`` are the mean and
+    the standard deviation of a host's posterior: the fewer documents, the nearer to the prior.
     """
-    raw = hosts.select((F.col("failed") / F.col("docs")).alias("r"))
-    fit = raw.agg(F.avg("r").alias("m"), F.avg(F.col("r") * F.col("r")).alias("s"))
-    spread = F.col("s") - F.col("m") * F.col("m")
-    weight = F.when(spread > 1e-12, F.col("m") * (1 - F.col("m")) / spread - 1).otherwise(PRIOR_RANGE[1])
-    weight = F.greatest(F.lit(PRIOR_RANGE[0]), F.least(weight, F.lit(PRIOR_RANGE[1])))
-    prior = fit.select(F.struct(F.col("m"), weight.alias("n")).alias("prior")).scalar()
-    return hosts.withColumn("rate", (F.col("failed") + prior["m"] * prior["n"]) / (F.col("docs") + prior["n"]))
+    n, k = F.col("docs"), F.col("failed")
+    fit = hosts.groupBy("rule").agg(F.count("*").alias("_hosts"), F.sum(n).alias("_n"), F.sum(k).alias("_k"), F.sum(n * n).alias("_n2"), F.sum(k * k / n).alias("_s"))
+    p = F.col("_k") / F.col("_n")
+    fit = fit.select("rule", p.alias("prior"), (F.col("_hosts") - 1).alias("_free"), (F.col("_n") - F.col("_n2") / F.col("_n") - F.col("_hosts") + 1).alias("_room"), (F.col("_s") - p * p * F.col("_n")).alias("_spread"))
+    beyond = (F.try_divide(F.col("_spread"), F.col("prior") * (1 - F.col("prior"))) - F.col("_free")) / F.col("_room")
+    weight = F.when((F.col("_room") > 0) & (beyond > 1e-9), 1 / beyond - 1).otherwise(PRIOR_RANGE[1])
+    fit = fit.select("rule", "prior", F.greatest(F.lit(PRIOR_RANGE[0]), F.least(weight, F.lit(PRIOR_RANGE[1]))).alias("_weight"))
+    d = hosts.join(F.broadcast(fit), "rule")  # a row per rule
+    d = d.withColumn("rate", (k + F.col("prior") * F.col("_weight")) / (n + F.col("_weight")))
+    return d.withColumn("spread", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (n + F.col("_weight") + 1))).drop("_weight")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, host_failed, kept.
 
-    ``kept`` is false for a document that fails by itself, else false if its host fails. A null host
-    is no host: only the document's own rules count. Repeated rows count and return each time; other
-    columns of ``docs`` are not read; an empty table gives an empty result.
+    ``kept`` is false for a document that fails by itself, else false if its host fails any rule. A null
+    host is no host: only the document's own rules count. Null and empty texts have few words. Repeated
+    rows count and return each time; other columns of ``docs`` are not read; an empty table gives an
+    empty result.
     """
     d = measure(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    d = cut(d.withColumn("base_failed", failed))
-    hosts = d.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count("*").alias("docs"), F.count_if("base_failed").alias("failed"))
-    verdicts = shrunk_rates(hosts).select("_host", (F.col("rate") > host_rate).alias("_bad"))
-    d = d.join(verdicts, "_host", "left").withColumn("host_failed", F.coalesce("_bad", F.lit(False)))
+    words = F.col("n_words")
+    broken = {
+        "few_words": words < LEAST_WORDS, "repeats": 100 * F.col("n_repeat_words") > MOST_REPEATED * words,
+        "symbols": 100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars"), "dup_lines": 100 * F.col("n_dup_lines") > MOST_DUP_LINES * words,
+    }
+    d = cut(d.withColumn("base_failed", broken["few_words"] | broken["repeats"]))
+    hosts = d.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count("*").alias("docs"), *[F.count_if(broken[r]).alias(r) for r in RULES])
+    hosts = hosts.unpivot(["_host", "docs"], list(RULES), "rule", "failed")
+    worst = shrunk_rates(hosts).where(F.col("rate") - SURE * F.col("spread") > F.greatest("prior", F.lit(host_rate)))
+    bad = worst.select("_host", F.lit(True).alias("host_failed")).distinct()
+    d = d.join(bad, "_host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"),

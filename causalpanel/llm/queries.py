@@ -15,7 +15,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# Each query is its operator over the whole table: nulls, empty and long texts, repeats, empty tables and
+# further columns are as the operator's docstring says.
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mixing.mix`` of all documents; a row per row."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -51,19 +56,18 @@ from e
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The rule of OP2_SQL; the operator's own default, which the pipeline has, drops more.
-    found = linededup.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"), short=False, verbatim=False)
-    return found.withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    """``linededup.drop_recurring_lines`` of all documents; a row per row, null texts stay null."""
+    return linededup.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"), counted=("n_lines", "n_dropped"))
 
 
 OP2_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as lines from documents),
 l as (select rid, doc_id, unnest(lines) as line, unnest(range(len(lines))) as no from d),
 t as (
-  select rid, doc_id, no,
+  select rid, doc_id, no, regexp_extract_all(line, '{WORD}') as raw,
          list_transform(regexp_extract_all(line, '{WORD}'),
                         lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as toks
-  from l where len(regexp_extract_all(line, '{WORD}')) > 3),
+  from l where len(regexp_extract_all(line, '{WORD}')) > 0),
 k as (
   select toks, count(distinct rid)::bigint as docs, min((doc_id, rid, no)) as first from t group by toks),
 p as (
@@ -77,9 +81,13 @@ o as (
   select n, path, template, min(first) as kept
   from m join k using (toks) group by n, path, template having sum(docs) >= 10 and n - any_value(var) >= 0.5 * n),
 g as (select m.toks, o.kept from m join o using (n, path, template)),
-x as (
-  select t.rid, list(t.no) as gone from t join g using (toks)
-  where (t.doc_id, t.rid, t.no) <> g.kept group by t.rid)
+v as (
+  select raw, min((doc_id, rid, no)) as kept from t where len(raw) > 3
+  group by raw having count(distinct rid) >= case when len(raw) > 50 then 2 else 3 end),
+z as (
+  select t.rid, t.no from t join g using (toks) where (t.doc_id, t.rid, t.no) <> g.kept
+  union select t.rid, t.no from t join v using (raw) where (t.doc_id, t.rid, t.no) <> v.kept),
+x as (select rid, list(no) as gone from z group by rid)
 select doc_id,
        case when gone is null then text
             else coalesce(array_to_string([lines[i + 1] for i in range(len(lines)) if not list_contains(gone, i)], chr(10)), '') end as text,
@@ -89,11 +97,13 @@ from d left join x using (rid)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``simhash.near_duplicates`` of all documents; a row per row, texts without words share the zero print."""
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat.link`` of all conversations, whose turns of users and assistants are calls and results; a row per turn."""
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     found = chat.exchanges(chat.events(messages))
     return chat.link(found, chat.EXCHANGE).select("conv_id", "turn", "kind", "call_id", "status", "faults", "position", "json")
@@ -123,16 +133,19 @@ from o
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxicity.score`` of all documents by the model of ``toxicity.train``; a row per row, empty texts score 0."""
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packing.pack`` of all documents; a row per piece, documents without words have one without a bin."""
     return packing.pack(_documents(spark, sf_dir))
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality.judge`` of all documents, their sources the hosts; a row per row."""
     return quality.judge(_documents(spark, sf_dir))
 
 
@@ -144,7 +157,7 @@ with d as (
 g as (
   select rid, i, w[i:i + 4] as g from (select rid, w, unnest(range(1, len(w) - 3)) as i from d)),
 c as (select rid, i, count(*) over (partition by rid, g) as n from g),
-r as (select rid, count(distinct i + k)::bigint as n from c, (select unnest(range(5)) as k) where n >= 2 group by rid),
+rep as (select rid, count(distinct i + k)::bigint as n from c, (select unnest(range(5)) as k) where n >= 2 group by rid),
 l as (
   select rid, (count(*) - count(distinct line))::bigint as n
   from (select rid, unnest(string_split(text, chr(10))) as line from d)
@@ -152,13 +165,21 @@ l as (
 m as (
   select doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
-         coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
-         len(w) < 10 or 100 * coalesce(r.n, 0) > 20 * len(w) as base_failed
-  from d left join r using (rid) left join l using (rid)),
-h as (select source, count(*) as docs, count(*) filter (base_failed) as failed from m where source is not null group by 1),
-f as (select avg(failed / docs) as m, avg((failed / docs) * (failed / docs)) - avg(failed / docs) * avg(failed / docs) as v from h),
-p as (select m, greatest(1.0, least(1000.0, case when v > 1e-12 then m * (1 - m) / v - 1 else 1000.0 end)) as n from f),
-b as (select source, (failed + p.m * p.n) / (docs + p.n) > 0.5 as bad from h, p)
+         coalesce(l.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
+         len(w) < 10 or 100 * coalesce(rep.n, 0) > 20 * len(w) as base_failed
+  from d left join rep using (rid) left join l using (rid)),
+h as (
+  select source, rule, count(*)::double as n, count(*) filter (broken)::double as k
+  from (select source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines']) as rule,
+               unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 100 * n_symbols > 10 * word_chars, 100 * n_dup_lines > 5 * n_words]) as broken
+        from m where source is not null) group by 1, 2),
+f as (
+  select rule, sum(k) / sum(n) as p, count(*) - 1 as free, sum(n) - sum(n * n) / sum(n) - count(*) + 1 as room,
+         sum(k * k / n) - (sum(k) / sum(n)) ** 2 * sum(n) as s from h group by 1),
+g as (select *, (s / nullif(p * (1 - p), 0) - free) / nullif(room, 0) as beyond from f),
+w as (select rule, p, greatest(1.0, least(1000.0, case when room > 0 and beyond > 1e-9 then 1 / beyond - 1 else 1000.0 end)) as w from g),
+r as (select source, n, p, w, (k + p * w) / (n + w) as rate from h join w using (rule)),
+b as (select distinct source, true as bad from r where rate - 2 * sqrt(rate * (1 - rate) / (n + w + 1)) > greatest(p, 0.5))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(bad, false) as host_failed, not base_failed and not coalesce(bad, false) as kept
 from m left join b using (source)
@@ -166,10 +187,12 @@ from m left join b using (source)
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sharding.shard`` of all documents into 16; a row per row."""
     return sharding.shard(_documents(spark, sf_dir))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mtree.top_k`` of all embeddings: five rows per query, or fewer if there are no more others."""
     return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
@@ -188,6 +211,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bitpack.token_files`` of all documents, read back; a row per row."""
     import public_tokenizers
 
     described = bitpack.token_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -195,6 +219,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus_pipeline.run``: the rows of its last stage."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

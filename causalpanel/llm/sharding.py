@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_hash
 
 SHARDS = 16
 #: Rows in one range, about; ranges at most, which bounds the boundary list (24 bytes each).
@@ -92,13 +92,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write ``docs``, all its columns, as parquet with one folder per shard.
 
-    Texts meet their places by (doc_id, size, crc32), which a document's repeats share: those go to
-    the places in any order.
+    Texts meet their places by (doc_id, size, crc32), which a document's repeats share: those take the
+    places in the order of a hash of all their columns. The folders are named ``shard``, with an
+    underscore more for as long as ``docs`` has such a column. A null text takes one byte; an empty
+    table writes no rows.
     """
     places = shard(docs, shards, doc_id, text).select("doc_id", "size", "text_crc32", "shard", "slot")
     keys = ["_id", "_size", "_crc", "_nth"]
-    nth = F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(F.lit(0)))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard")).withColumn("_nth", nth)
-    d = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(doc_id).alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"))
-    d = d.withColumn("_nth", nth).alias("a").join(places.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    d.select("_doc.*", F.col("_shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(order))
+    places = places.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), "slot").withColumn("_nth", nth(F.struct("_shard", "slot")))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(doc_id).alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"))
+    d = d.withColumn("_nth", nth(row_hash(docs))).alias("a").join(places.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    d.select("_doc.*", F.col("_shard").alias(name)).write.mode("overwrite").partitionBy(name).parquet(path)

@@ -1,11 +1,11 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Every distinct fingerprint gets its Hamming distances to many fixed reference fingerprints. Pairs
-are dealt by bit blocks that close fingerprints must (one 64-bit print, up to four bits: exactly) or
-very likely (wider prints) share; within a bucket, sorted by the first distance, a pair is discarded
-as soon as one coordinate differs by more than the threshold, and the survivors are verified. A
-bucket gives a spanning forest of its links, not all pairs. Distances to references alone can't deal
-pairs: those of unrelated 64-bit prints differ by 4 or less in over half of all cases.
+are dealt by bit blocks that fingerprints within the threshold must share; within a bucket, sorted by
+the first distance, a pair is discarded as soon as one coordinate differs by more than the threshold,
+and the survivors are verified. A bucket gives a spanning forest of its links, not all pairs. Distances
+to references alone can't deal pairs: those of unrelated 64-bit prints differ by 4 or less in over
+half of all cases. ``similar`` holds texts to a Jaccard similarity by the same tables.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, row_key, ship
+from .common import cut, keyed, row_hash, row_key, ship
 from .components import components
 
-#: References of one 64-bit print; wide prints, held to larger distances, have fewer.
-REFERENCES, WIDE_REFERENCES = 16, 4
+#: Reference fingerprints, and so coordinates of a print.
+REFERENCES = 16
 #: Large buckets that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 65_536
 #: Prints in one chunk of a large bucket; every two chunks of it meet in one tile.
@@ -109,18 +109,19 @@ def block_tables(rows: int, distance: int) -> list[tuple[int, int]]:
     return [(0, sum(some)) for some in combinations(masks, kept)]
 
 
-def band_tables(width: int, bits: int = 16) -> list[tuple[int, int]]:
-    """(word, mask) tables of every run of ``bits`` bits in a wide print."""
-    return [(w, ((1 << bits) - 1) << at) for w in range(width) for at in range(0, 64 - bits + 1, bits)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _distance(column: Column, reference: np.ndarray) -> Column:
-    parts = [F.bit_count(column[w].bitwiseXOR(F.lit(_signed(int(r))))) for w, r in enumerate(reference)]
-    return sum(parts[1:], parts[0]).cast("short")
+def hamming(a: Column, b: list[Column]) -> Column:
+    """Differing bits of a print, an array, and another one's words."""
+    parts = [F.bit_count(a[w].bitwiseXOR(x)) for w, x in enumerate(b)]
+    return sum(parts[1:], parts[0])
+
+
+def pivot_table(print_: Column, width: int) -> Column:
+    """The distances of a print to the references: its coordinates."""
+    return F.array(*[hamming(print_, [F.lit(_signed(int(x))) for x in r]).cast("short") for r in references(REFERENCES, width)])
 
 
 def tile_links(group: np.ndarray, prints: np.ndarray, table: np.ndarray, distance: int) -> np.ndarray:
@@ -165,17 +166,15 @@ def tile_links(group: np.ndarray, prints: np.ndarray, table: np.ndarray, distanc
         shift += 1
 
 
-def links(prints: DataFrame, width: int, distance: int, tables: list[tuple[int, int]]) -> DataFrame:
-    """(v, print) rows, distinct -> (u, v) edges that connect what is within ``distance`` bits.
+def links(prints: DataFrame, distance: int, tables: list[tuple[int, int]]) -> DataFrame:
+    """(v, print) rows, distinct, of one word -> (u, v) edges that connect what is within ``distance`` bits.
 
     A bucket of more than CHUNK prints is cut into chunks by hash, and every two chunks meet in a
     tile of their own: no task holds a whole large bucket, and no pair is lost.
     """
     import pyarrow as pa
 
-    count = REFERENCES if width == 1 else WIDE_REFERENCES
-    refs = references(count, width)
-    prints = prints.withColumn("table", F.array(*[_distance(F.col("print"), r) for r in refs]))
+    prints = prints.withColumn("table", pivot_table(F.col("print"), 1))
     keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("print")[w].bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (w, mask) in enumerate(tables)])
     dealt = prints.withColumn("_b", F.explode(keys)).select("_b.t", "_b.key", "v", "print", "table")
     large = dealt.groupBy("t", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)
@@ -203,7 +202,7 @@ def links(prints: DataFrame, width: int, distance: int, tables: list[tuple[int,
         def edges(part, group):
             v = part.column("v").to_numpy()
             flat = [pa.concat_arrays([x.flatten() for x in part.column(c).chunks]).to_numpy() for c in ("print", "table")]
-            root = tile_links(group, flat[0].view(np.uint64).reshape(-1, width), flat[1].astype(np.int32).reshape(-1, count), distance)
+            root = tile_links(group, flat[0].view(np.uint64).reshape(-1, 1), flat[1].astype(np.int32).reshape(-1, REFERENCES), distance)
             at = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(v[root[at]])], ["u", "v"])
 
@@ -222,41 +221,40 @@ def links(prints: DataFrame, width: int, distance: int, tables: list[tuple[int,
     return dealt.mapInArrow(forest, "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 4, width: int = 1, distance: int = 4, doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (hex), component_id, print, _k1, _k2.
+def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint (hex), component_id, root, _k1, _k2.
 
-    ``size``: words in a shingle. ``width`` 1 links fingerprints at ``distance`` bits or fewer,
-    exactly. Wider prints (64 * width bits) are compared where they share one of ``4 * width`` runs
-    of 16 bits, which may miss pairs (``similar`` is exact at a similarity). A text of fewer words is one shingle, one of no words (null and empty) has the zero
+    ``size``: words in a shingle. Fingerprints of 64 bits are linked at ``distance`` bits or fewer,
+    exactly. A text of fewer words is one shingle, one of no words (null and empty) has the zero
     print, linked like any other. ``component_id`` is the least doc_id reachable; null ids count
     only where a component has no other. Repeated rows come back each time; other columns are not
     read; an empty table gives an empty result.
     """
-    d = cut(fingerprints(docs, size, width, doc_id, text))
-    v = F.col("print")[0] if width == 1 else F.xxhash64("print")
+    d = cut(fingerprints(docs, size, 1, doc_id, text))
+    v = F.col("print")[0]
     known = cut(d.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("v", v))
-    rows = known.count()
-    tables = block_tables(rows, distance) if width == 1 else band_tables(width)
-    rooted = components(links(known.select("v", "print"), width, distance, tables))
+    rooted = components(links(known.select("v", "print"), distance, block_tables(known.count(), distance)))
     known = known.select("v", "least").join(rooted.withColumnRenamed("node", "v"), "v", "left")
     known = cut(known.withColumn("root", F.coalesce("root", "v")))
     least = cut(known.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(known.select("v", "root").join(least, "root").select("v", "root", "component_id"))
-    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col("print")[w]), 16, "0") for w in reversed(range(width))]))
+    hexed = F.lower(F.lpad(F.hex(v), 16, "0"))
     return d.withColumn("v", v).join(named, "v").select("doc_id", hexed.alias("fingerprint"), "component_id", "root", "_k1", "_k2")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all columns, with one row of each group: the one of the least doc_id.
 
-    Rows without an id come last; among rows of one id a hash of the text decides, and rows that
-    repeat count as one.
+    Rows without an id come last; among rows of one id a hash of the text decides, and of rows that
+    repeat id and text the one of the least hash of all its columns stays.
     """
     doc_id, text = (options.get(k, k) for k in ("doc_id", "text"))
     found = near_duplicates(docs, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     kept = found.groupBy("root").agg(F.min(order).alias("_first")).select("_first._k1", "_first._k2")
-    found = keyed(docs, doc_id, text).join(kept, ["_k1", "_k2"], "left_semi")
-    return found.dropDuplicates(["_k1", "_k2"]).select("_doc.*")
+    return one_each(docs, keyed(docs, doc_id, text).join(kept, ["_k1", "_k2"], "left_semi"))
+
+
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the rows (_doc, _k1, _k2) of each key the one of the least hash of all its columns."""
+    return found.groupBy("_k1", "_k2").agg(F.min_by("_doc", row_hash(docs)).alias("_doc")).select("_doc.*")

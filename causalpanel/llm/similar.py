@@ -1,10 +1,13 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets.
-
-A set's shingles stand in one order for all texts: by a level of how common they are in a sample,
-then by hash. Two sets of n shingles or fewer at a similarity of 4/5 share one of their first
-n - ceil(4n/5) + 1 shingles (prefix filtering), whatever the levels are, so no pair is missed. Pairs
-that meet are counted, those that cannot reach the overlap are left out, and of the rest the whole
-sets are compared. Groups of many near copies are joined by neighbours first; what lies in one
+"""SimHash near-duplicates at a Jaccard similarity of shingle sets, exactly.
+
+Every set has a SimHash print of 128 bits and a pivot table, its distances to the references of
+``simhash``. A pair whose tables differ by more than DISTANCE in one coordinate is discarded, one whose
+prints do so too, and the whole sets of the survivors are compared. No run of a print's bits is shared
+by all pairs at a similarity, so the sets themselves deal the pairs: a set's shingles stand in one
+order for all texts, by a level of how common they are in a sample, then by hash. Two sets of n
+shingles or fewer at a similarity of 4/5 share one of their first n - ceil(4n/5) + 1 shingles (prefix
+filtering), whatever the levels are, so no pair is missed. Pairs that meet are counted, those that
+cannot reach the overlap are left out, and the rest go to the tables. Groups of many near copies are joined by neighbours first; what lies in one
 component by then needs no more comparison.
 """
 
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keyed, row_key, ship, stored
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint, hamming, one_each, pivot_table, shingle_hashes
 
 #: The least similarity, as a fraction of whole numbers: sets at exactly this are linked.
 SHARE, OF = 4, 5
@@ -27,6 +30,10 @@ MOST_COMMON = 200_000
 #: Texts that are looked up by broadcast names at most (24 bytes each); more meet them by a shuffle.
 BROADCAST_ROWS = 262_144
 LEVEL_BITS = 2
+#: Words of 64 bits in a print, and differing bits that sets at the least similarity never have: about
+#: 19 of 128 are expected of large ones, 24 of the least favourable (four shingles of five), where this is
+#: over seven standard deviations away; unrelated ones differ in 64.
+WIDTH, DISTANCE = 2, 56
 #: In the first round one in FIRST_ROUND shingles that more than LARGE sets share joins neighbours.
 FIRST_ROUND, LARGE = 4, 32
 
@@ -86,7 +93,7 @@ def _common(plain: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _begun(plain: DataFrame, size: int) -> DataFrame:
-    """doc_id, _k1, _k2, v (names the shingle set), n (its size), start (its prefix) per row."""
+    """doc_id, _k1, _k2, v (names the shingle set), n (its size), start (its prefix), print per row."""
     import pyarrow as pa
     import xxhash
 
@@ -96,9 +103,18 @@ def _begun(plain: DataFrame, size: int) -> DataFrame:
         v = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         n = np.array([len(s) for s in sets], np.int32)
         starts = _lists([ordered(s, common.value, levels.value)[: prefix(len(s))] for s in sets])
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "_k1", "_k2")), pa.array(v), pa.array(n), starts], ["doc_id", "_k1", "_k2", "v", "n", "start"])
+        prints = _lists([fingerprint(s.view(np.uint64) << np.uint64(LEVEL_BITS + 1), WIDTH).view(np.int64) for s in sets])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "_k1", "_k2")), pa.array(v), pa.array(n), starts, prints], ["doc_id", "_k1", "_k2", "v", "n", "start", "print"])
+
+    return _sets(plain, size, "doc_id long, _k1 long, _k2 long, v long, n int, start array<bigint>, print array<bigint>", made)
+
 
-    return _sets(plain, size, "doc_id long, _k1 long, _k2 long, v long, n int, start array<bigint>", made)
+def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the (u, v) ``pairs`` those that neither a coordinate of their pivot tables nor their prints set apart."""
+    table = known.select("v", "print", pivot_table(F.col("print"), WIDTH).alias("table"))
+    both = pairs.join(table.select(F.col("v").alias("u"), F.col("print").alias("_p"), F.col("table").alias("_t")), "u").join(table, "v")
+    most = F.array_max(F.zip_with("table", "_t", lambda a, b: F.abs(a - b)))
+    return both.where(most <= DISTANCE).where(hamming(F.col("print"), [F.col("_p")[w] for w in range(WIDTH)]) <= DISTANCE).select("u", "v")
 
 
 def _alike(pairs: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
@@ -144,7 +160,7 @@ def _near_in_size(a, b):
 
 
 def links(known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
-    """(v, _k1, _k2, n, start) rows, one for each distinct set -> (u, v) edges, all at the least
+    """(v, _k1, _k2, n, start, print) rows, one for each distinct set -> (u, v) edges, all at the least
     similarity, whose components are those of all such pairs."""
     dealt = known.select(F.explode("start").alias("key"), "v", "n", F.get("start", F.size("start") - 1).alias("last"))
     whole = Window.partitionBy("key")
@@ -152,7 +168,7 @@ def links(known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
     line = Window.partitionBy("key").orderBy("n", "v")
     chain = shared.where(F.col("_c") > LARGE).where(F.pmod(F.xxhash64("key"), F.lit(FIRST_ROUND)) == 0).select("v", "n", F.lag("v").over(line).alias("u"), F.lag("n").over(line).alias("m"))
     chain = cut(chain.where(F.col("u").isNotNull() & _near_in_size(F.col("n"), F.col("m"))).select("u", "v").distinct())
-    first = _alike(chain, known, plain, size)
+    first = _alike(cut(_near(chain, known)), known, plain, size)
     rooted = components(first, stored).withColumnRenamed("node", "v")
     open_ = shared.join(rooted, "v", "left").withColumn("root", F.coalesce("root", "v"))
     open_ = open_.withColumns({"_a": F.min("root").over(whole), "_b": F.max("root").over(whole)}).where("_a <> _b").drop("_a", "_b")
@@ -164,7 +180,7 @@ def links(known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
     n = F.when(F.col("last1") <= F.col("last2"), F.col("n1")).otherwise(F.col("n2"))
     most = F.col("_both") + F.ceil(n * SHARE / OF) - 1
     pairs = cut(met.where(most * (SHARE + OF) >= (F.col("n1") + F.col("n2")) * SHARE).select("u", "v"))
-    return first.unionByName(_alike(pairs, known, plain, size))
+    return first.unionByName(_alike(cut(_near(pairs, known)), known, plain, size))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keys, F.col(text).alias("text"))
     d = cut(_begun(plain, size))
     one = cut(d.where("n > 0").groupBy("v").agg(F.min(F.struct("_k1", "_k2")).alias("_one")).select("_one.*"))
-    known = cut(d.join(one, ["_k1", "_k2"]).select("v", "_k1", "_k2", "n", "start").dropDuplicates(["v"]))
+    known = cut(d.join(one, ["_k1", "_k2"]).select("v", "_k1", "_k2", "n", "start", "print").dropDuplicates(["v"]))
     rooted = components(links(known, plain, size), stored).withColumnRenamed("node", "v")
     return d.join(rooted, "v", "left").select("doc_id", F.coalesce("root", "v").alias("root"), "_k1", "_k2")
 
@@ -187,11 +203,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text
 def drop_near_duplicates(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group: the one of the least doc_id.
 
-    Rows without an id come last; among rows of one id a hash of the text decides, and rows that
-    repeat count as one.
+    Rows without an id come last; among rows of one id a hash of the text decides, and of rows that
+    repeat id and text the one of the least hash of all its columns stays.
     """
     found = near_duplicates(docs, size, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     kept = found.groupBy("root").agg(F.min(order).alias("_first")).select("_first._k1", "_first._k2")
-    found = keyed(docs, doc_id, text).join(kept, ["_k1", "_k2"], "left_semi")
-    return found.dropDuplicates(["_k1", "_k2"]).select("_doc.*")
+    return one_each(docs, keyed(docs, doc_id, text).join(kept, ["_k1", "_k2"], "left_semi"))

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, keyed, row_key, ship
 
-#: Labelled documents that the fit uses at most, about (a hash-random sample); features at most.
-MOST_LABELLED, MOST_FEATURES = 20_000, 4096
+#: Labelled documents that the fit uses at most, about (a hash-random sample).
+MOST_LABELLED = 20_000
 #: A feature is in so many toxic documents of the sample at least, in such a share of them, and its
-#: share among them is above that among the others by so many standard errors.
+#: share among them is above that among the others by so many standard errors. The share bounds the
+#: features: there are 1 / LEAST_SHARE times as many at most as a toxic document has on average.
 LEAST_DOCS, LEAST_SHARE, LEAST_Z = 5, 0.02, 5.0
 FOLDS = 5
 #: Lengths of the beginnings of words that count as features besides whole words.
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     table = table.where(F.col("n1") >= max(LEAST_DOCS, LEAST_SHARE * n1)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    names = [r["feature"] for r in table.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect()]
+    names = [r["feature"] for r in table.orderBy(F.desc("z"), "feature").select("feature").collect()]
     if not names:
         return Model({}, None)
     place = {f: k for k, f in enumerate(names)}
@@ -213,6 +214,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``docs``, all columns, without the rows whose text is predicted to be toxic."""
+    """``docs``, all columns, without the rows whose text is predicted to be toxic.
+
+    Null and empty texts stay, repeated rows share their fate, an empty table stays empty.
+    """
     bad = score(docs, train(docs, labels, doc_id, text, label), doc_id, text).where("predicted = 1").select("_k1", "_k2").distinct()
     return keyed(docs, doc_id, text).join(bad, ["_k1", "_k2"], "left_anti").select("_doc.*")

@@ -1,11 +1,14 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, no rows and clashing columns."""
 
 import json
+import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from causalpanel.llm import chat, linededup, mixing, mtree, packing, quality, sharding, simhash, toxicity
+from causalpanel.llm import bitpack, chat, linededup, mixing, mtree, packing, quality, sharding, similar, simhash, toxicity
 from causalpanel.llm.queries import op10_token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,7 +26,7 @@ ROWS = [
     (6, "same id, other text", "fr", "c", 19),
     (7, "\x00 odd ퟿ é 😀", "fr", "", 9),
 ]
-CLASH = ["size", "shard", "_key", "_k1", "_k2", "v", "print", "root", "no", "leaf", "line", "target", "taken", "score", "predicted", "_plan", "_nth", "part", "drop", "bin_id", "_tag", "component_id", "epochs", "n_words", "_doc"]
+CLASH = ["_n_lines", "_n_dropped", "_copy", "_part", "n", "start", "table", "host_failed", "rule", "size", "shard", "_key", "_k1", "_k2", "v", "print", "root", "no", "leaf", "line", "target", "taken", "score", "predicted", "_plan", "_nth", "part", "drop", "bin_id", "_tag", "component_id", "epochs", "n_words", "_doc"]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +49,7 @@ DIGESTS = {
     "quality": lambda d, lab: quality.judge(d),
     "shard": lambda d, lab: sharding.shard(d),
     "simhash": lambda d, lab: simhash.near_duplicates(d),
-    "wide simhash": lambda d, lab: simhash.near_duplicates(d, size=5, width=8, distance=84),
+    "similar": lambda d, lab: similar.near_duplicates(d),
     "toxicity": lambda d, lab: toxicity.score(d, toxicity.train(d, lab)),
 }
 
@@ -102,6 +105,44 @@ def test_lines_of_odd_texts_are_untouched(docs):
     assert all(r["_n_dropped"] == 0 for r in found)
 
 
+def test_shards_on_disk(spark, docs, tmp_path):
+    for k, d in enumerate((docs, clashing(docs))):
+        sharding.write_shards(d, f"{tmp_path}/{k}")
+        back = spark.read.parquet(f"{tmp_path}/{k}")
+        name = "shard_" if k else "shard"
+        assert back.columns == [*d.columns, name] and back.count() == len(ROWS)
+        key = lambda rows: sorted((str(r["doc_id"]), str(r[name])) for r in rows)
+        assert key(back.collect()) == sorted((str(r["doc_id"]), str(r["shard"])) for r in sharding.shard(docs).collect())
+    sharding.write_shards(docs.limit(0), f"{tmp_path}/none")
+
+
+def test_rows_without_an_id_are_taken_alike_on_reruns(spark):
+    """A third of the rows have no id, many of them repeat: the same multiset whatever the partitions."""
+    rows = [(None if k % 3 == 0 else k, f"word{k % 12 if k % 3 == 0 else k} and some more", "en", "a" if k % 2 else "b", 9) for k in range(300)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    runs = [sorted(map(str, mixing.mix(d.repartition(n)).drop("_k1", "_k2").collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 300
+    keys = mixing._numbered(d.select("doc_id", F.lit(1).alias("_k1"), F.lit(2).alias("_k2"), F.lit(1).alias("size")).repartition(5))
+    assert sorted(r["_copy"] for r in keys.where("doc_id is null").collect()) == list(range(100))
+
+
+def test_search_keeps_large_vectors(spark):
+    """Finite vectors of any size, in exact integers; scores beyond a long show its end."""
+    rng = random.Random(6)
+    rows = [(0, [1.0, 2.0]), (1, [300000.0, 1.0]), (2, [1.0, 1.0]), (50, [2.0**21, -(2.0**20)]), (3, [1e30, -5.0]), (4, [-1e30, 7.5]), (100, [3e29, 1.5])]
+    rows += [(5 + k, [rng.choice([1.0, 2.0**18, 2.0**22, 2.0**27, 1e12]) * rng.uniform(-1, 1) for _ in range(2)]) for k in range(40)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = [(r["vec_id"], [math.floor(256 * Fraction(x)) for x in r["embedding"]]) for r in d.collect()]
+    found = {}
+    for r in mtree.top_k(d).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    low, high = -(1 << 63), (1 << 63) - 1
+    for name, q in held:
+        if name % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), k) for k, v in held if k != name)[:5]
+            assert found[name] == [(k, min(max(-s, low), high)) for s, k in best]
+
+
 def test_search(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 2.0]), (5, []), (100, [1.0]), (7, [3.0, 0.5])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

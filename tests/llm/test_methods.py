@@ -1,6 +1,8 @@
 """Operators against brute-force versions, exact round trips and held-out accuracy."""
 
+import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,13 +114,27 @@ def links_of(prints, distance):
     return {k: find(k) for k in prints}
 
 
-@pytest.mark.parametrize(("size", "width", "distance"), [(4, 1, 4), (5, 8, 84)])
-def test_simhash_components(docs, rows, size, width, distance):
-    prints = {k: [int(x) for x in simhash.fingerprint(simhash.shingle_hashes(t, size), width)] for k, t, *_ in rows}
-    expected = links_of(prints, distance)
-    found = simhash.near_duplicates(docs, size, width, distance).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == expected
-    assert all(r["fingerprint"] == "".join(f"{x:016x}" for x in reversed(prints[r["doc_id"]])) for r in found)
+def plain_print(text, size):
+    """The fingerprint, bit by bit, from the shingles' hashes by the library itself."""
+    import xxhash
+
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    shingles = [found[k : k + size] for k in range(len(found) - size + 1)] or ([found] if found else [])
+    hashes = [xxhash.xxh64(" ".join(s).encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_prints_equal_the_plain_version():
+    for text in [*(t for _, t, *_ in corpus(30)), "", " ", "one", "One TWO three", "É é A\x0bB\u00a0c d\u2003e f", "x " * 5000]:
+        assert int(simhash.fingerprint(simhash.shingle_hashes(text, 4), 1)[0]) == plain_print(text, 4), text[:20]
+
+
+@pytest.mark.parametrize(("size", "distance"), [(4, 4), (5, 3)])
+def test_simhash_components(docs, rows, size, distance):
+    prints = {k: [plain_print(t, size)] for k, t, *_ in rows}
+    found = simhash.near_duplicates(docs, size, distance).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == links_of(prints, distance)
+    assert all(r["fingerprint"] == f"{prints[r['doc_id']][0]:016x}" for r in found)
 
 
 def test_block_tables_lose_no_pair():
@@ -139,7 +155,7 @@ def test_large_buckets_are_tiled(spark, monkeypatch):
     base = rng.getrandbits(60)
     prints = {base ^ (1 << rng.randrange(13, 60)) ^ (1 << rng.randrange(13, 60)) for _ in range(80)} | {rng.getrandbits(60) for _ in range(40)}
     d = spark.createDataFrame([(p, [p]) for p in prints], "v long, print array<long>")
-    found = components.components(simhash.links(d, 1, 4, simhash.block_tables(len(prints), 4))).collect()
+    found = components.components(simhash.links(d, 4, simhash.block_tables(len(prints), 4))).collect()
     expected = links_of({p: [p] for p in prints}, 4)
     groups, got = defaultdict(set), defaultdict(set)
     for p, r in expected.items():
@@ -150,9 +166,8 @@ def test_large_buckets_are_tiled(spark, monkeypatch):
 
 
 def test_one_of_each_group_stays(docs, rows):
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs, size=5, width=8, distance=84).collect()}
-    prints = {k: [int(x) for x in simhash.fingerprint(simhash.shingle_hashes(t, 5), 8)] for k, t, *_ in rows}
-    assert kept == set(links_of(prints, 84).values())
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == set(links_of({k: [plain_print(t, 4)] for k, t, *_ in rows}, 4).values())
 
 
 def test_components_of_a_long_path(spark):
@@ -185,9 +200,65 @@ def test_tool_calls(spark):
     assert found[3]["json"] == '{"arguments":{"x":1,"y":2},"call_id":"b","name":"add","role":"assistant"}'
 
 
+def linked(spark, rows, schemas=None):
+    d = chat.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return sorted(chat.link(d, schemas or {"f": {}}).collect(), key=lambda r: (r["conv_id"], r["position"]))
+
+
+def tool_call(name, *after):
+    return json.dumps({"tool_calls": [{"id": name, "name": "f", "arguments": {}, "after": list(after)}]})
+
+
+def test_long_chains_need_no_rounds(spark, monkeypatch):
+    """A chain of 300 calls, each after the one before it, is in order as it stands."""
+    rounds = []
+    monkeypatch.setattr(chat, "cut", lambda d, plain=chat.cut: rounds.append(1) or plain(d))
+    found = linked(spark, [(1, k, "assistant", tool_call(f"c{k}", *([f"c{k - 1}"] if k else []))) for k in range(300)])
+    assert [r["call_id"] for r in found] == [f"c{k}" for k in range(300)] and {r["status"] for r in found} == {"unanswered"}
+    assert len(rounds) < 15
+
+
+def test_calls_come_after_all_that_they_wait_for(spark):
+    """c waits for a, a for b, and b comes last: the order follows the whole chain."""
+    rows = [(1, 1, "assistant", tool_call("a", "b")), (1, 2, "assistant", tool_call("c", "a")), (1, 3, "user", "hm"), (1, 5, "assistant", tool_call("b")), (2, 1, "assistant", tool_call("x", "x")), (2, 2, "assistant", tool_call("y", "x")), (2, 3, "assistant", tool_call("z", "none"))]
+    found = linked(spark, rows)
+    assert [r["call_id"] for r in found if r["conv_id"] == 1] == [None, "b", "a", "c"]
+    assert {r["call_id"]: r["status"] for r in found if r["conv_id"] == 2} == {"x": "cyclic", "y": "cyclic", "z": "unanswered"}
+
+
 # --- 5
 
 
+def test_scores_equal_a_plain_noisy_or():
+    model = toxicity.Model({"=vile": 7.0, "vile*": 1.5, "gri*": 2.0, "grim*": 4.0}, -5.0)
+    for text in ["Vile things. Nothing here! grimly GRIM\nvile vilest", "no words. at all", "... !!", "", "vile", "a" * 9000 + " vile." * 300]:
+        miss = 1.0
+        for s in re.split(r"[.!?\n]+", text.lower()):
+            found = re.findall(r"[^\W\d_]+", s)
+            if found:
+                told = {f for w in found for f in [f"={w}", *[f"{w[:k]}*" for k in toxicity.PREFIXES if len(w) > k]]}
+                miss *= 1 - 1 / (1 + np.exp(-(-5.0 + sum(model.weights.get(f, 0.0) for f in told))))
+        assert model.score(text)[0] == pytest.approx(1 - miss, abs=1e-9)
+
+
+def test_fit_is_at_a_minimum_of_the_noisy_or_loss():
+    """Finite differences of the plain loss (with the ridge) are about zero where the fit ends."""
+    rng = np.random.default_rng(3)
+    labels = (rng.random(200) < 0.3).astype(float)
+    owner = np.repeat(np.arange(200), 3)
+    column = np.where(rng.random(600) < 0.25 + 0.4 * labels[owner], 0, rng.integers(1, 4, 600))
+    plain = rng.integers(0, 4, 200).astype(float)
+    w, b = toxicity.fit_noisy_or(labels, plain, owner, np.arange(600), column, 4)
+
+    def loss(x):
+        total = np.bincount(owner, np.log1p(np.exp(x[4] + x[column])), 200) + plain * np.log1p(np.exp(x[4]))
+        return np.where(labels == 1, -np.log(-np.expm1(-total)), total).mean() + toxicity.RIDGE / 400 * (x[:4] ** 2).sum()
+
+    at = np.append(w, b)
+    slope = [(loss(at + d) - loss(at - d)) / 2e-5 for d in 1e-5 * np.eye(5)]
+    assert np.abs(slope).max() < 2e-3
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     plain, bad = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], ["vile", "nasty", "grimtoada", "grimtoadb", "grimtoadcc"]
@@ -254,6 +325,9 @@ def test_best_fit_is_tightest():
             able = [100 - sum(sizes[j] for j in js) for js in held.values() if js and 100 - sum(sizes[j] for j in js) >= sizes[k] and clusters[k] not in [clusters[j] for j in js] and [sources[j] for j in js].count(sources[k]) < 2]
             assert (not before and not able) or (100 - offsets[k]) == min(able)
             held[b].append(k)
+        tight, left = plain_best_fit(sizes, sources, clusters, 100, 2)
+        assert [None if o == 0 else 100 - o for o in offsets][:1] == tight[:1] == [None]
+        assert len(left) <= len(held) + 2 and len(held) <= len(left) + 2  # ties among bins may part the two later
 
 
 def test_packing_keeps_every_word(docs, rows):
@@ -297,6 +371,28 @@ def test_bad_hosts_fail_with_their_documents(spark):
     assert found[300] and not found[301]
 
 
+def test_small_hosts_are_shrunk_and_every_rule_has_its_rate(spark):
+    """The same raw rate condemns a large host and not a small one; rates equal a plain version's."""
+    fine = lambda k: " ".join(f"w{j + k}" for j in range(20))
+    rows = [(k, fine(k), f"h{k % 10}") for k in range(600)]
+    rows += [(1000 + k, "few" if k < 100 else fine(k), "large") for k in range(160)] + [(2000 + k, "few" if k < 5 else fine(k), "small") for k in range(8)]
+    rows += [(3000 + k, fine(k) + " # # # # # # # # # # # #", "symbols") for k in range(60)] + [(4000 + k, fine(k) + "\nx\nx\nx\nx", "lines") for k in range(60)]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    host = {r[0]: r[2] for r in rows}
+    assert {host[r["doc_id"]] for r in found if r["host_failed"]} == {"large", "symbols", "lines"}
+    counts = Counter(host.values())
+    plain = [("few_words", h, n, {"large": 100, "small": 5}.get(h, 0)) for h, n in counts.items()]
+    got = {r["_host"]: r for r in quality.shrunk_rates(spark.createDataFrame(plain, "rule string, _host string, docs long, failed long")).collect()}
+    n, k = np.array([x[2] for x in plain], float), np.array([x[3] for x in plain], float)
+    p = k.sum() / n.sum()
+    excess = ((n * (k / n - p) ** 2).sum() / (p * (1 - p)) - (len(n) - 1)) / (n.sum() - (n**2).sum() / n.sum() - len(n) + 1)
+    weight = min(1000.0, max(1.0, 1 / excess - 1))
+    for x in plain:
+        rate = (x[3] + p * weight) / (x[2] + weight)
+        assert got[x[1]]["rate"] == pytest.approx(rate) and got[x[1]]["spread"] == pytest.approx((rate * (1 - rate) / (x[2] + weight + 1)) ** 0.5)
+    assert got["small"]["rate"] - got["small"]["prior"] < got["large"]["rate"] - got["large"]["prior"]
+
+
 # --- 8
 
 
@@ -309,6 +405,8 @@ def test_shards(spark, docs, rows, tmp_path, monkeypatch):
         expected[k] = (2 * at + size) * 16 // (2 * total)
         at += size
     assert {r["doc_id"]: r["shard"] for r in found} == expected
+    told = {k: (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for k, t, *_ in rows}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in found} == told
     by = defaultdict(list)
     for r in found:
         by[r["shard"]].append(r)
@@ -318,6 +416,17 @@ def test_shards(spark, docs, rows, tmp_path, monkeypatch):
     assert {r["doc_id"]: r["shard"] for r in back.collect()} == expected and back.count() == len(rows)
 
 
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    """Keys that the first sample misses for their small share make a range that is sampled again."""
+    monkeypatch.setattr(sharding, "PER_RANGE", 100)
+    asked, plain = [], sharding._boundaries
+    monkeypatch.setattr(sharding, "_boundaries", lambda rows, step, salt: asked.append((salt, rows)) or (plain(rows, step, salt).limit(2) if salt == "first" else plain(rows, step, salt)))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(1000)], "doc_id long, text string")
+    found = sharding.shard(docs).collect()
+    assert [s for s, _ in asked] == ["first", "again"] and asked[1][1].count() > 0
+    assert sorted(Counter(r["shard"] for r in found)) == list(range(16)) and max(Counter(r["shard"] for r in found).values()) < 70
+
+
 # --- 9
 
 
@@ -374,9 +483,17 @@ ODD = ["", " ", "  ", " a", "a ", "a  b", "a\n\n b", "a\n \nb", "\n", "\nx y\n",
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     tokenizers = pytest.importorskip("public_tokenizers")
-    coder = bitpack.Encoder(tokenizers.path(name))
+    from tokenizers import Tokenizer
+
+    coder, fresh = bitpack.Encoder(tokenizers.path(name)), Tokenizer.from_file(tokenizers.path(name))
+    said = json.loads(fresh.to_str())
     for text in [*ODD, *[t for _, t, *_ in corpus(40)], " ".join(ODD)]:
-        assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert coder.encode(text).tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    for token in said["added_tokens"]:
+        for text in ("{}", "a {} b", "a{}b", "{} a", "a\n{}", "x y {}{} z", "a" * 500 + " {} b  c"):
+            text = text.format(*[token["content"]] * 2)
+            assert coder.encode(text).tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    assert said["added_tokens"]
 
 
 def test_token_files_read_back(spark, docs, rows, tmp_path):
@@ -384,8 +501,10 @@ def test_token_files_read_back(spark, docs, rows, tmp_path):
     path = tokenizers.path("byte_bpe_50k.json")
     bitpack.write_token_files(docs, str(tmp_path / "ids"), path)
     found = {r["doc_id"]: r for r in bitpack.read_documents(spark, str(tmp_path / "ids")).collect()}
-    coder, at = bitpack.Encoder(path), 0
+    from tokenizers import Tokenizer
+
+    coder, at = Tokenizer.from_file(path), 0
     for k, text, *_ in rows:
-        ids = np.append(coder.encode(text), 0).astype("<u4")
+        ids = np.append(coder.encode(text, add_special_tokens=False).ids, 0).astype("<u4")
         assert (found[k]["start"], found[k]["n_tokens"], found[k]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
