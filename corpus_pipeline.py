@@ -11,11 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from causalpanel.llm import linededup, mixing, packing, similar, toxicity
-from causalpanel.llm.common import checkpoint_dir
+from causalpanel.llm.common import checkpoint_dir, discard
 
-#: Five words in a shingle. Texts at a similarity of 0.8 differ in 78 of the 512 bits of their wide
-#: SimHash prints on average, almost never in more than DISTANCE; the stage itself compares the sets.
-SHINGLE, DISTANCE = 5, 88
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +31,15 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document all of whose lines go has an empty text; null texts stay null.
     """
-    return linededup.drop_recurring_lines(docs).select(*docs.columns)
+    return linededup.drop_recurring_lines(docs, counted=None)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts at a Jaccard similarity of 0.8 or more, exactly, the least doc_id stays.
 
-    Groups are the components of such pairs. Texts without words (null, empty) are one group.
+    SimHash prints and pivot tables discard pairs, whole shingle sets decide. Groups are the components
+    of such pairs. Texts without words (null, empty) are one group; of repeated rows one stays; an empty
+    table stays empty.
     """
     return similar.drop_near_duplicates(docs, size=SHINGLE)
 
@@ -46,13 +47,17 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last of a source gives the words of its part.
 
-    Documents without words cost nothing and come once per full epoch of their source.
+    Documents without words (null, empty) cost nothing and come once per full epoch of their source.
+    Repeated rows are taken one by one; null sources are one source; an empty table stays empty.
     """
     return mixing.mixed_texts(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its bin; repeats of a text never share a bin."""
+    """A row per piece of a document with its bin; repeats of a text never share a bin.
+
+    Documents without words (null, empty) have one piece and no bin; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
@@ -70,10 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's input is deleted once its result is written, so one intermediate table is kept.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
