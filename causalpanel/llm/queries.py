@@ -176,8 +176,8 @@ h as (
 f as (
   select rule, sum(k) / sum(n) as p, count(*) - 1 as free, sum(n) - sum(n * n) / sum(n) - count(*) + 1 as room,
          sum(k * k / n) - (sum(k) / sum(n)) ** 2 * sum(n) as s from h group by 1),
-g as (select *, (s / nullif(p * (1 - p), 0) - free) / nullif(room, 0) as beyond from f),
-w as (select rule, p, greatest(1.0, least(1000.0, case when room > 0 and beyond > 1e-9 then 1 / beyond - 1 else 1000.0 end)) as w from g),
+y as (select *, (s / nullif(p * (1 - p), 0) - free) / nullif(room, 0) as beyond from f),
+w as (select rule, p, greatest(1.0, least(1000.0, case when room > 0 and beyond > 1e-9 then 1 / beyond - 1 else 1000.0 end)) as w from y),
 r as (select source, n, p, w, (k + p * w) / (n + w) as rate from h join w using (rule)),
 b as (select distinct source, true as bad from r where rate - 2 * sqrt(rate * (1 - rate) / (n + w + 1)) > greatest(p, 0.5))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
