@@ -166,25 +166,30 @@ def tile_links(group: np.ndarray, prints: np.ndarray, table: np.ndarray, distanc
         shift += 1
 
 
+def in_tiles(dealt: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+    """``dealt`` with a, b: rows of a bucket of more than ``chunk`` are cut into chunks by a hash of v, and
+    a row comes once for every two chunks a <= b of which one is its own. No task holds a whole large
+    bucket, and every two rows of a bucket meet."""
+    large = dealt.groupBy(*bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
+    large = cut(large.select(*bucket, F.ceil(F.col("_n") / chunk).cast("int").alias("_g")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    d = dealt.join(large, bucket, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    others = F.when(F.col("_g") > 1, F.filter(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: x != F.col("_own"))).otherwise(F.array(F.lit(0)))
+    d = d.withColumn("_own", F.pmod(F.xxhash64("v"), F.col("_g")).cast("int")).withColumn("_o", F.explode(others))
+    return d.select(*dealt.columns, F.least("_own", "_o").alias("a"), F.greatest("_own", "_o").alias("b"))
+
+
 def links(prints: DataFrame, distance: int, tables: list[tuple[int, int]]) -> DataFrame:
     """(v, print) rows, distinct, of one word -> (u, v) edges that connect what is within ``distance`` bits.
 
-    A bucket of more than CHUNK prints is cut into chunks by hash, and every two chunks meet in a
-    tile of their own: no task holds a whole large bucket, and no pair is lost.
+    Buckets meet in tiles (``in_tiles``) of CHUNK prints a chunk.
     """
     import pyarrow as pa
 
     prints = prints.withColumn("table", pivot_table(F.col("print"), 1))
     keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("print")[w].bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (w, mask) in enumerate(tables)])
     dealt = prints.withColumn("_b", F.explode(keys)).select("_b.t", "_b.key", "v", "print", "table")
-    large = dealt.groupBy("t", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)
-    large = cut(large.select("t", "key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_g")))
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    dealt = dealt.join(large, ["t", "key"], "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
-    own = F.pmod(F.xxhash64("v"), F.col("_g")).cast("int")
-    others = F.when(F.col("_g") > 1, F.filter(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: x != F.col("_own"))).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("_own", own).withColumn("_o", F.explode(others))
-    dealt = dealt.select("t", "key", F.least("_own", "_o").alias("a"), F.greatest("_own", "_o").alias("b"), "v", "print", "table")
+    dealt = in_tiles(dealt, ["t", "key"], CHUNK)
     dealt = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", F.col("table")[0])
     ship(prints.sparkSession)
 

@@ -1,14 +1,18 @@
 """SimHash near-duplicates at a Jaccard similarity of shingle sets, exactly.
 
-Every set has a SimHash print of 128 bits and a pivot table, its distances to the references of
+Every set has a SimHash print of 256 bits and a pivot table, its distances to the references of
 ``simhash``. A pair whose tables differ by more than DISTANCE in one coordinate is discarded, one whose
 prints do so too, and the whole sets of the survivors are compared. No run of a print's bits is shared
 by all pairs at a similarity, so the sets themselves deal the pairs: a set's shingles stand in one
 order for all texts, by a level of how common they are in a sample, then by hash. Two sets of n
 shingles or fewer at a similarity of 4/5 share one of their first n - ceil(4n/5) + 1 shingles (prefix
 filtering), whatever the levels are, so no pair is missed. Pairs that meet are counted, those that
-cannot reach the overlap are left out, and the rest go to the tables. Groups of many near copies are joined by neighbours first; what lies in one
-component by then needs no more comparison.
+cannot reach the overlap are left out, and the rest go to the tables.
+
+Buckets of more than LARGE sets would meet in too many pairs. Each of their sets first goes to a few homes,
+by the least hashes of its large buckets, and is compared there with all that share the home, in tiles,
+without a pair being written: most near copies share one. Pairs of one component, or of one home, need
+no other meeting.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keyed, row_key, ship, stored
 from .components import components
-from .simhash import SEED, fingerprint, hamming, one_each, pivot_table, shingle_hashes
+from .simhash import REFERENCES, SEED, fingerprint, hamming, in_tiles, one_each, pivot_table, shingle_hashes
 
 #: The least similarity, as a fraction of whole numbers: sets at exactly this are linked.
 SHARE, OF = 4, 5
@@ -31,11 +35,13 @@ MOST_COMMON = 200_000
 BROADCAST_ROWS = 262_144
 LEVEL_BITS = 2
 #: Words of 64 bits in a print, and differing bits that sets at the least similarity never have: about
-#: 19 of 128 are expected of large ones, 24 of the least favourable (four shingles of five), where this is
-#: over seven standard deviations away; unrelated ones differ in 64.
-WIDTH, DISTANCE = 2, 56
-#: In the first round one in FIRST_ROUND shingles that more than LARGE sets share joins neighbours.
-FIRST_ROUND, LARGE = 4, 32
+#: 39 of 256 are expected of large ones, 48 of the least favourable (four shingles of five), where this is
+#: over seven standard deviations away; unrelated ones differ in 128.
+WIDTH, DISTANCE = 4, 96
+#: Sets in a bucket that meet in pairs, homes of a set in larger ones, sets in a chunk of a home.
+LARGE, HOMES, CHUNK = 32, 4, 256
+#: Shingles that are counted at once in a tile.
+COLUMNS = 4096
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -117,13 +123,23 @@ def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(most <= DISTANCE).where(hamming(F.col("print"), [F.col("_p")[w] for w in range(WIDTH)]) <= DISTANCE).select("u", "v")
 
 
-def _alike(pairs: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
-    """Of the (u, v) ``pairs`` whose whole sets are at the least similarity or above, enough to connect all."""
+def _whole_sets(wanted: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
+    """v, set: the whole shingle sets of the names in ``wanted``, from the text of one row of each."""
     import pyarrow as pa
 
     def made(part, sets):
         return pa.RecordBatch.from_arrays([part.column("v"), _lists(sets)], ["v", "set"])
 
+    needed = cut(known.join(wanted, "v").select("v", "_k1", "_k2"))
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    texts = plain.join(needed, ["_k1", "_k2"]).select("v", "text")
+    return cut(_sets(texts, size, "v long, set array<bigint>", made).dropDuplicates(["v"]))
+
+
+def _alike(pairs: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
+    """Of the (u, v) ``pairs`` whose whole sets are at the least similarity or above, enough to connect all."""
+    import pyarrow as pa
+
     def checked(batches):
         root: dict[int, int] = {}  # of what this task has linked; pairs within add nothing
 
@@ -147,10 +163,7 @@ def _alike(pairs: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> D
                         good.append(k)
             yield batch.select(["u", "v"]).take(pa.array(good, pa.int32()))
 
-    needed = cut(known.join(pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct(), "v").select("v", "_k1", "_k2"))
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = plain.join(needed, ["_k1", "_k2"]).select("v", "text")
-    sets = cut(_sets(sets, size, "v long, set array<bigint>", made).dropDuplicates(["v"]))
+    sets = _whole_sets(pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct(), known, plain, size)
     both = pairs.join(sets.select(F.col("v").alias("u"), F.col("set").alias("a")), "u").join(sets.select("v", F.col("set").alias("b")), "v")
     return stored(both.select("u", "v", "a", "b").mapInArrow(checked, "u long, v long"))
 
@@ -159,22 +172,117 @@ def _near_in_size(a, b):
     return F.least(a, b) * OF >= F.greatest(a, b) * SHARE
 
 
+def set_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of ``sets`` at the least similarity or above, enough to connect all such pairs.
+
+    The overlaps of all pairs are products of the sets' rows over the shingles that two or more have.
+    """
+    m, n = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, name, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times[name] > 1)
+    column, row = (np.cumsum(times > 1) - 1)[name[kept]], np.repeat(np.arange(m), n)[kept]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((m, m), np.float32 if n.max(initial=0) < 1 << 24 else np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        block = np.zeros((m, COLUMNS), both.dtype)
+        block[row[i:j], column[i:j] - at] = 1
+        both += block @ block.T
+    good = (SHARE + OF) * both.astype(np.float64) >= SHARE * (n[:, None] + n[None])
+    root, found = list(range(m)), []
+    for a, b in np.argwhere(np.triu(good, 1)).tolist():
+        x, y = a, b
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((a, b))
+    return found
+
+
+def _groups(batches, names: list[str]):
+    """The rows of each group of ``names``, which lie together, as tables."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        keys = [part.column(c).to_numpy() for c in names]
+        starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        edges = [0, *starts.tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield part.slice(a, b - a)
+        held = part.slice(edges[-1])
+    if held is not None:
+        yield held
+
+
+def _wide(table, column: str, width: int) -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(table), width)
+
+
+def close(prints: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Which rows have another one that neither a coordinate of the pivot tables nor the prints set apart."""
+    found = np.zeros(len(prints), bool)
+    for at in range(0, len(prints), 64):
+        some = slice(at, at + 64)
+        near = (np.abs(tables[some, None] - tables[None]) <= DISTANCE).all(axis=2)
+        near &= np.bitwise_count(prints[some, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= DISTANCE
+        found[some] = near.sum(axis=1) > 1  # itself is one
+    return found
+
+
+def _at_home(per: DataFrame, known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
+    """(u, v) edges that connect all pairs at the least similarity that share a home."""
+    import pyarrow as pa
+
+    tile, kind = ["nth", "home", "a", "b"], "nth int, home long, a int, b int"
+    at = cut(per.where(F.size("homes") > 0).select("v", F.posexplode("homes").alias("nth", "home")))
+    at = in_tiles(at, ["nth", "home"], CHUNK)
+    table = known.select("v", "print", pivot_table(F.col("print"), WIDTH).alias("table"))
+    at = at.join(table, "v").repartition(*tile).sortWithinPartitions(*tile)
+
+    def survivors(batches):
+        for part in _groups(batches, tile):
+            good = close(_wide(part, "print", WIDTH).view(np.uint64), _wide(part, "table", REFERENCES).astype(np.int16))
+            yield from part.select([*tile, "v"]).take(pa.array(np.flatnonzero(good))).to_batches()
+
+    def linked(batches):
+        for part in _groups(batches, tile):
+            sets, v = [np.asarray(s.values) for s in part.column("set")], part.column("v").to_numpy()
+            found = np.array(set_links(sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(v[found[:, 0]]), pa.array(v[found[:, 1]])], ["u", "v"])
+
+    left = cut(at.mapInArrow(survivors, f"{kind}, v long"))
+    sets = _whole_sets(left.select("v").distinct(), known, plain, size)
+    left = left.join(sets, "v").repartition(*tile).sortWithinPartitions(*tile)
+    return stored(left.mapInArrow(linked, "u long, v long"))
+
+
 def links(known: DataFrame, plain: DataFrame, size: int) -> DataFrame:
     """(v, _k1, _k2, n, start, print) rows, one for each distinct set -> (u, v) edges, all at the least
     similarity, whose components are those of all such pairs."""
     dealt = known.select(F.explode("start").alias("key"), "v", "n", F.get("start", F.size("start") - 1).alias("last"))
     whole = Window.partitionBy("key")
-    shared = cut(dealt.withColumn("_c", F.count("*").over(whole)).where("_c > 1"))
-    line = Window.partitionBy("key").orderBy("n", "v")
-    chain = shared.where(F.col("_c") > LARGE).where(F.pmod(F.xxhash64("key"), F.lit(FIRST_ROUND)) == 0).select("v", "n", F.lag("v").over(line).alias("u"), F.lag("n").over(line).alias("m"))
-    chain = cut(chain.where(F.col("u").isNotNull() & _near_in_size(F.col("n"), F.col("m"))).select("u", "v").distinct())
-    first = _alike(cut(_near(chain, known)), known, plain, size)
+    large = F.col("_c") > LARGE
+    homes = [F.min(F.when(large, F.xxhash64("key", F.lit(k)))) for k in range(HOMES)]
+    per = dealt.withColumn("_c", F.count("*").over(whole)).where("_c > 1").groupBy("v", "n", "last")
+    per = cut(per.agg(F.collect_list("key").alias("keys"), F.array_compact(F.array(*homes)).alias("homes")))
+    first = _at_home(per, known, plain, size)
     rooted = components(first, stored).withColumnRenamed("node", "v")
-    open_ = shared.join(rooted, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    open_ = per.join(rooted, "v", "left").select("v", "n", "last", "homes", F.coalesce("root", "v").alias("root"), F.explode("keys").alias("key"))
     open_ = open_.withColumns({"_a": F.min("root").over(whole), "_b": F.max("root").over(whole)}).where("_a <> _b").drop("_a", "_b")
     open_ = cut(open_)
-    a, b = (open_.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("v", "n", "last", "root")]) for k in (1, 2))
-    met = a.join(b, "key").where((F.col("v1") < F.col("v2")) & (F.col("root1") != F.col("root2")) & _near_in_size(F.col("n1"), F.col("n2")))
+    a, b = (open_.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("v", "n", "last", "root", "homes")]) for k in (1, 2))
+    apart = (F.col("root1") != F.col("root2")) & ~F.arrays_overlap("homes1", "homes2")
+    met = a.join(b, "key").where((F.col("v1") < F.col("v2")) & apart & _near_in_size(F.col("n1"), F.col("n2")))
     met = met.groupBy(F.col("v1").alias("u"), F.col("v2").alias("v")).agg(F.count("*").alias("_both"), *[F.first(c).alias(c) for c in ("n1", "n2", "last1", "last2")])
     # Up to the earlier of the two prefixes' ends every shared shingle has been counted.
     n = F.when(F.col("last1") <= F.col("last2"), F.col("n1")).otherwise(F.col("n2"))
