@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from datetime import date
 
@@ -307,7 +308,7 @@ def expr_masked_lag(spark, sf):
     return _evaluated(spark, sf, [MIXED]).select("entity", "period_end", F.round("e0", 4).alias("mixed"), F.col("m0").alias("survives"))
 
 
-@query(f"""with {REPORTS_SQL}, b as (select quantile_cont(f_rev, 0.01) as lo, quantile_cont(f_rev, 0.99) as hi from reports where year(period_end) <= 1998)
+@query(f"""with {REPORTS_SQL}, b as (select quantile_disc(f_rev, 0.01) as lo, quantile_disc(f_rev, 0.99) as hi from reports where year(period_end) <= 1998)
 select entity, period_end, round(greatest(least(f_rev, hi), lo), 4) as f_rev from reports, b""")
 def winsorize_train_bounds(spark, sf):
     d = expr.winsorize(panels.reports(spark, sf).select("entity", "period_end", "f_rev"), F.year("period_end") <= 1998, ["f_rev"])
@@ -369,7 +370,7 @@ def histogram(spark, sf):
 
 @query(f"""with {REPORTS_SQL}, l as ({LONG_SQL}), m as (select feature, avg(x) as m from l group by 1),
 c as (select l.feature, count(x) as n, avg((x - m) ** 2) as m2, avg((x - m) ** 3) as m3, avg((x - m) ** 4) as m4 from l join m using (feature) where x is not null group by 1),
-d as (select feature, avg(x) as mean, stddev_samp(x) as sd, min(x) as least, max(x) as most, median(x) as median from l group by 1)
+d as (select feature, avg(x) as mean, stddev_samp(x) as sd, min(x) as least, max(x) as most, quantile_disc(x, 0.5) as median from l group by 1)
 select feature, n, round(mean, 4) as mean, round(sd, 4) as sd, round(least, 4) as least, round(most, 4) as most, round(median, 4) as median,
        round(case when least < most then m3 / m2 ** 1.5 end, 4) as skew, round(case when least < most then m4 / m2 ** 2 - 3 end, 4) as kurtosis
 from d join c using (feature)""")
@@ -410,7 +411,7 @@ def company_observations(spark, sf):
 
 
 @query(f"""with {RETURNS_SQL} select month, count(*) as n, round(avg(monthly_return), 6) as mean, round(stddev_samp(monthly_return), 6) as sd,
-round(quantile_cont(monthly_return, 0.5), 6) as median, round(quantile_cont(monthly_return, 0.05), 6) as low, round(quantile_cont(monthly_return, 0.95), 6) as high
+round(quantile_disc(monthly_return, 0.5), 6) as median, round(quantile_disc(monthly_return, 0.05), 6) as low, round(quantile_disc(monthly_return, 0.95), 6) as high
 from ret group by 1""")
 def return_cross_section(spark, sf):
     return rounded(profile.cross_section(_returns(spark, sf), "month", "monthly_return"), "mean", "sd", "median", "low", "high")
@@ -470,12 +471,12 @@ def _predictions(spark, sf):
     return d.where("label is not null").select("entity", "month", "prediction", "label")
 
 
-@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select month, round(ic, 6) as ic, n from ics")
+@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select month, round(ic, 6) + 0.0 as ic, n from ics")
 def monthly_rank_ic(spark, sf):
     return rounded(rk.monthly_rank_ic(_predictions(spark, sf)).select("month", "ic", "n"), "ic")
 
 
-@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select round(avg(ic), 6) as mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) as ic_ir, count(*) as months from ics")
+@query(f"with {PREDICTIONS_SQL}, {IC_SQL} select round(avg(ic), 6) + 0.0 as mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) + 0.0 as ic_ir, count(*) as months from ics")
 def ic_summary(spark, sf):
     return rounded(rk.monthly_rank_ic(_predictions(spark, sf)).agg(*rk.ic_summary(F.col("ic"))), "mean_ic", "ic_ir")
 
@@ -630,7 +631,7 @@ def block_bootstrap(spark, sf):
     """The draws come from the driver's generator, which SQL has not; tests hold it to plain Python."""
     d = compare.seed_averaged(panels.arm_ic(spark)).select("fold", "month", "delta")
     lengths = {r["fold"]: r["count"] for r in d.groupBy("fold").count().orderBy("fold").collect()}
-    found = resample.bootstrap(d, resample.draw_starts(spark, lengths, replicates=500))
+    found = resample.bootstrap(d, resample.draw_starts(spark, lengths))
     return compare.verdict(found.withColumnRenamed("observed", "delta"))
 
 
@@ -638,8 +639,8 @@ def block_bootstrap(spark, sf):
 def seed_block_bootstrap(spark, sf):
     d = compare.seed_deltas(panels.arm_ic(spark)).select("fold", "seed", "month", "delta")
     lengths = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.countDistinct("month").alias("n")).orderBy("fold").collect()}
-    drawn = resample.draw_seeds(spark, [100, 101, 102, 103], 200)
-    return resample.seed_bootstrap(d, drawn, resample.draw_starts(spark, lengths, replicates=200, seed=43))
+    drawn = resample.draw_seeds(spark, [100, 101, 102, 103], resample.REPLICATES)
+    return resample.seed_bootstrap(d, drawn, resample.draw_starts(spark, lengths, seed=43))
 
 
 # --- further profiling and reporting
@@ -763,18 +764,40 @@ def _split_panel(spark, sf):
     return folds.split(_panel(spark, sf).na.drop(subset=["prev_month_return", "prev_month_sector_return"]), fold, "target_date", 1)
 
 
+def _scorer(spark, sf):
+    return search.PanelScorer(_split_panel(spark, sf), FEATURES)
+
+
 @query()
 def gbt_fitness(spark, sf):
-    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=3)
-    scores = scorer([RATIO, NESTED])
+    """A generation's worth of expressions, fitted side by side with the operator's 85 trees."""
+    scorer, rng = _scorer(spark, sf), random.Random(folds.derive_seed(42, "fitness"))
+    grammar = expr.Grammar(["f_qty", "f_rev", "f_disc", "f_n"])
+    forms = dict.fromkeys([RATIO, NESTED, MIXED, MASKED])
+    while len(forms) < search.Settings().population:
+        forms[expr.canonical(grammar.random(rng))] = None
+    scores = scorer(list(forms))
+    scorer.release()
     return spark.createDataFrame([(str(e), x) for e, x in scores.items()], "expression string, fitness double")
 
 
+@query()
+def spark_fit(spark, sf):
+    """The distributed fit of one expression: for frames of more rows than one task may hold."""
+    scorer = _scorer(spark, sf)
+    d = expr.winsorize(scorer.frame([RATIO]), F.col("_train"), ["e0"])
+    p = model.fit_predict(d.where("_train"), d.where("not _train"), [*scorer.predictors, "e0"], scorer.target, ["entity", "target_date"], 10)
+    scorer.release()
+    return model.errors(p, scorer.target)
+
+
 @query()
 def search_step(spark, sf):
-    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=2)
-    grammar = expr.Grammar(["f_qty", "f_rev", "f_disc", "f_n"], most_leaves=2)
-    best, state, known = search.search(scorer, grammar, search.Settings(population=4, generations=2), folds.derive_seed(42, "fold_01"))
+    """Two generations (a search has 50 at most, and goes on until it is calm) at the default settings otherwise."""
+    scorer = _scorer(spark, sf)
+    grammar = expr.Grammar(["f_qty", "f_rev", "f_disc", "f_n"])
+    best, state, known = search.search(scorer, grammar, search.Settings(generations=2), folds.derive_seed(42, "fold_01"))
+    scorer.release()
     return spark.createDataFrame([(str(e), x, e == best) for e, x in known.items()], "expression string, fitness double, best boolean")
 
 
@@ -782,26 +805,26 @@ def search_step(spark, sf):
 def baseline_fit(spark, sf):
     """The two fixed predictors alone, and several expressions at once, on one fold."""
     panel = _split_panel(spark, sf)
-    scorer = search.PanelScorer(panel, FEATURES, trees=2)
+    scorer = search.PanelScorer(panel, FEATURES)
     fixed = search.baseline_predictions(panel, scorer)
-    d = scorer.frame([RATIO, MIXED])
-    inputs = [*scorer.predictors, "e0", "e1"]
-    several = model.fit_predict(d.where("_train"), d.where("not _train"), inputs, scorer.target, ["entity", "target_date"], 2)
-    one = lambda p, name: model.errors(p, scorer.target).select(F.lit(name).alias("model"), "rmse", "n")
-    return one(fixed, "fixed").unionByName(one(several, "several"))
+    several, _ = scorer.held_out([RATIO, MIXED], together=True)
+    return model.errors(fixed.unionByName(several), scorer.target, ("model",))
 
 
 @query()
 def random_baseline(spark, sf):
-    scorer = search.PanelScorer(_split_panel(spark, sf), FEATURES, trees=2)
-    best, scores = search.random_search(scorer, expr.Grammar(["f_qty", "f_rev", "f_n"], most_leaves=2), 3, 42)
+    """Random search over a generation's worth of forms."""
+    scorer = _scorer(spark, sf)
+    best, scores = search.random_search(scorer, expr.Grammar(["f_qty", "f_rev", "f_n"]), search.Settings().population, 42)
+    scorer.release()
     return spark.createDataFrame([(str(e), x, e == best) for e, x in scores.items()], "expression string, fitness double, best boolean")
 
 
 @query()
 def feature_scores(spark, sf):
+    """The three scores of the consensus at their defaults: 100 trees, five repeats."""
     d, columns = _panel(spark, sf), ["f_qty", "f_rev", "f_disc", "f_n"]
-    found = {"spearman": model.spearman_scores(d, columns, "monthly_return"), "mutual": model.mutual_information(d, columns, "monthly_return"), "forest": model.permutation_importance(d, columns, "monthly_return", 5, 1)}
+    found = {"spearman": model.spearman_scores(d, columns, "monthly_return"), "mutual": model.mutual_information(d, columns, "monthly_return"), "forest": model.permutation_importance(d, columns, "monthly_return")}
     out = None
     for method, scores in found.items():
         one = scores.select("feature", F.lit(method).alias("method"), "score")

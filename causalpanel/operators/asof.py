@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import inf_to_null
@@ -33,9 +33,9 @@ def asof_carry(
     return found.select("_row.*", fresh.alias(name))
 
 
-def fallback_lag(lags: DataFrame, lag: str = "lag", share: float = 0.9) -> int:
-    """The ``share`` quantile of non-negative observed lags (an observed element), else 45."""
-    return lags.where(F.col(lag) >= 0).agg(F.percentile_approx(lag, share, 10000)).first()[0] or FALLBACK_DAYS
+def fallback_lag(lags: DataFrame, lag: str = "lag", share: float = 0.9) -> Column:
+    """The ``share`` quantile of non-negative observed lags (an observed element), else 45: a scalar subquery."""
+    return F.coalesce(lags.where(F.col(lag) >= 0).agg(F.percentile_approx(lag, share, 10000)).scalar(), F.lit(FALLBACK_DAYS)).cast("int")
 
 
 def availability_date(d: DataFrame, period: str, sources: list[str], name: str = "available", fallback: int | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def availability_date(d: DataFrame, period: str, sources: list[str], name: str =
     """
     latest = F.greatest(*sources) if len(sources) > 1 else F.col(sources[0])
     d = d.withColumn("_lag", F.datediff(latest, F.col(period)))
-    days = fallback_lag(d, "_lag") if fallback is None else fallback
+    days = fallback_lag(d, "_lag") if fallback is None else F.lit(fallback)
     return d.withColumn(name, F.when(F.col("_lag") >= 0, latest).otherwise(F.date_add(F.col(period), days))).drop("_lag")
 
 

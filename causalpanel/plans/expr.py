@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import is_missing, null_safe_clip, safe_div
-from causalpanel.operators.temporal import TemporalOp, vocabulary
+from causalpanel.operators.temporal import LAGS, TemporalOp, vocabulary
 
 ARITHMETIC = ("+", "-", "*", "/")
+ACCURACY = 10_000
 
 
 class Expr:
@@ -108,17 +109,23 @@ def chain(terms: list[Expr], signs: list[str]) -> Expr:
     return terms[0] if len(terms) == 1 else Chain(terms[0], tuple(zip(signs, terms[1:], strict=True)))
 
 
-def canonical(e: Expr) -> Expr:
-    """Stacked lags become one lag; a lag moves inside a mean. Only exact identities are used."""
+def canonical(e: Expr, periods: tuple[int, ...] = LAGS) -> Expr:
+    """Stacked lags become one lag if the vocabulary has it; a lag moves inside a mean.
+
+    Only exact identities are used. Lags whose sum is no lag of ``periods`` stay nested, the longer outside.
+    """
     if isinstance(e, Chain):
-        return Chain(canonical(e.first), tuple((s, canonical(t)) for s, t in e.rest))
+        return Chain(canonical(e.first, periods), tuple((s, canonical(t, periods)) for s, t in e.rest))
     if not isinstance(e, Temporal):
         return e
-    inner = canonical(e.inner)
+    inner = canonical(e.inner, periods)
     if e.op.family == "lag" and isinstance(inner, Temporal) and inner.op.family == "lag":
-        return Temporal(TemporalOp("lag", e.op.period + inner.op.period), inner.inner)
+        if e.op.period + inner.op.period in periods:
+            return canonical(Temporal(TemporalOp("lag", e.op.period + inner.op.period), inner.inner), periods)
+        low, high = sorted((e.op, inner.op), key=lambda op: op.period)
+        return Temporal(high, Temporal(low, inner.inner))
     if e.op.family == "mean" and isinstance(inner, Temporal) and inner.op.family == "lag":
-        return canonical(Temporal(inner.op, Temporal(e.op, inner.inner)))
+        return canonical(Temporal(inner.op, Temporal(e.op, inner.inner)), periods)
     return Temporal(e.op, inner)
 
 
@@ -140,7 +147,9 @@ class Grammar:
     def _sound(self, e: Expr) -> bool:
         if isinstance(e, Chain):
             return bool(e.rest) and all(s in ARITHMETIC for s, _ in e.rest) and all(self._sound(t) for t in e.terms())
-        return self._sound(e.inner) if isinstance(e, Temporal) else e.name in self.features
+        if isinstance(e, Temporal):
+            return e.op in self.ops.values() and self._sound(e.inner)
+        return e.name in self.features
 
     def random(self, rng: random.Random) -> Expr:
         n = rng.randint(1, self.most_leaves)
@@ -268,8 +277,11 @@ def feature_frame(panel: DataFrame, population: list[Expr], leaves: list[str], e
 
 
 def winsorize(d: DataFrame, train: Column, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``d`` with each column clipped to its quantiles over the rows of ``train``; missing values stay."""
+    """``d`` with each column clipped to its quantiles over the rows of ``train``; missing values stay.
+
+    A quantile is an observed value whose rank is off by one in ACCURACY at most (exact for fewer rows).
+    """
     kept = lambda c: F.when(train & ~is_missing(F.col(c)), F.col(c))
-    bounds = d.agg(*[F.percentile(kept(c), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    made = {c: null_safe_clip(F.col(c), F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in columns if bounds[c] and bounds[c][0] is not None}
-    return d.withColumns(made) if made else d
+    found = d.agg(F.struct(*[F.percentile_approx(kept(c), [low, high], ACCURACY).alias(c) for c in columns]).alias("_b")).scalar()
+    bound = lambda c, k: F.get(found[c], F.lit(k))
+    return d.withColumns({c: F.when(found[c].isNull(), F.col(c)).otherwise(null_safe_clip(F.col(c), bound(c, 0), bound(c, 1))) for c in columns}) if columns else d

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalpanel.operators.model import errors, fit_predict
+from causalpanel.operators import boost
+from causalpanel.operators.model import errors
 from causalpanel.operators.rank import monthly_rank_ic
-from causalpanel.plans.expr import Expr, Grammar, canonical, feature_frame, winsorize
+from causalpanel.plans.expr import Expr, Grammar, canonical, feature_frame
 from causalpanel.plans.folds import derive_seed
 
 Scorer = Callable[[list[Expr]], dict[Expr, float]]
@@ -38,6 +37,7 @@ class State:
     """All that a run needs to go on: JSON-ready but for the expressions and the generator's state."""
 
     population: list[Expr]
+    known: dict[Expr, float] = field(default_factory=dict)
     best: list[float] = field(default_factory=list)
     admitted: list[float] = field(default_factory=list)
     diversity: list[int] = field(default_factory=list)
@@ -103,7 +103,7 @@ def search(score: Scorer, grammar: Grammar, settings: Settings, seed: int, state
     state = state or State([canonical(grammar.random(rng)) for _ in range(settings.population)])
     if state.rng is not None:
         rng.setstate(state.rng)
-    known: dict[Expr, float] = {}
+    known = state.known
     while True:
         new = [e for e in dict.fromkeys(state.population) if e not in known]
         known |= score(new) if new else {}
@@ -134,7 +134,11 @@ def random_search(score: Scorer, grammar: Grammar, evaluations: int, seed: int)
 
 @dataclass
 class PanelScorer:
-    """Scores expressions on a panel with ``split``: fit on train, mean monthly rank IC (or -RMSE) on ``on``."""
+    """Scores expressions on a panel with ``split``: fit on train, mean monthly rank IC (or -RMSE) on ``on``.
+
+    All expressions of a call are one frame, one pass of fits (``boost``) and one of predictions. With
+    ``release`` the panel's cached blocks go; those of a call go at its end.
+    """
 
     panel: DataFrame
     leaves: list[str]
@@ -144,48 +148,47 @@ class PanelScorer:
     target: str = "monthly_return"
     predictors: tuple[str, ...] = ("prev_month_return", "prev_month_sector_return")
     on: str = "test"
-    trees: int = 85
+    trees: int = boost.TREES
     metric: str = "ic"
-    seed: int = 0
-    threads: int = 4
 
     def __post_init__(self):
         self.panel = self.panel.persist()  # every generation reads it again
 
+    def release(self) -> None:
+        self.panel.unpersist()
+
     def frame(self, population: list[Expr]) -> DataFrame:
+        """Rows of train and ``on`` with e{k} and ``_train``; the fits clip to train's quantiles."""
         required = [self.entity, self.month, *self.predictors, self.target]
         train = feature_frame(self.panel.where("split = 'train'"), population, self.leaves, self.entity, self.date, required)
         both = feature_frame(self.panel.where(F.col("split").isin("train", self.on)), population, self.leaves, self.entity, self.date, required)
         d = train.unionByName(both.where(F.col("split") == self.on)).withColumn("_train", F.col("split") == "train")
-        names = [f"e{k}" for k in range(len(population))]
-        d = d.withColumns({f"e{k}": F.when(F.col(f"m{k}"), F.col(f"e{k}")) for k in range(len(population))}).persist()
-        return winsorize(d, F.col("_train"), names)
+        return d.withColumns({f"e{k}": F.when(F.col(f"m{k}"), F.col(f"e{k}")) for k in range(len(population))})
 
-    def predictions(self, d: DataFrame, k: int, name: str) -> DataFrame:
-        inputs = [*self.predictors, f"e{k}"]
-        return fit_predict(d.where("_train"), d.where("not _train"), inputs, self.target, [self.entity, self.month], self.trees, seed=derive_seed(self.seed, name))
+    def predictions(self, sets: dict[str, list[str]], d: DataFrame) -> DataFrame:
+        """model, entity, month, target, prediction of the held-out rows, for every list of inputs."""
+        models = boost.fit_all(d.where("_train"), sets, self.target, [self.entity, self.month], trees=self.trees, clip=0.01, free=len(self.predictors))
+        return boost.predict_all(d.where("not _train"), sets, models, self.target, [self.entity, self.month])
 
-    def score(self, d: DataFrame, k: int, name: str) -> float:
-        p = self.predictions(d, k, name)
-        if self.metric == "ic":
-            x = monthly_rank_ic(p, self.month, self.target).agg(F.avg("ic")).first()[0]
-        else:
-            x = errors(p, self.target).first()["rmse"]
-            x = None if x is None else -x
-        return float("-inf") if x is None else float(x)
+    def held_out(self, population: list[Expr], together: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Predictions by expression (its number is the model), or of one model of them all; and the cached frame."""
+        names = [f"e{k}" for k in range(len(population))]
+        d = self.frame(population).persist()
+        sets = {"all": [*self.predictors, *names]} if together else {str(k): [*self.predictors, c] for k, c in enumerate(names)}
+        return self.predictions(sets, d), d
 
     def __call__(self, population: list[Expr]) -> dict[Expr, float]:
-        """One frame for all; the fits, small jobs in long rows, run side by side."""
-        d = self.frame(population).persist()
-        d.count()
-        run = inheritable_thread_target(d.sparkSession)(lambda k, e: self.score(d, k, str(e)))
-        with ThreadPoolExecutor(self.threads) as pool:
-            found = dict(zip(population, pool.map(run, range(len(population)), population), strict=True))
-        d.unpersist()
-        return found
+        p, held = self.held_out(population)
+        if self.metric == "ic":
+            found = monthly_rank_ic(p, self.month, self.target, by=("model",)).groupBy("model").agg(F.avg("ic").alias("x"))
+        else:
+            found = errors(p, self.target, ("model",)).select("model", (-F.col("rmse")).alias("x"))
+        scores = {r["model"]: r["x"] for r in found.collect()}  # a row per expression
+        held.unpersist()
+        return {e: float(scores.get(str(k), float("-inf"))) for k, e in enumerate(population)}
 
 
 def baseline_predictions(panel: DataFrame, scorer: PanelScorer) -> DataFrame:
-    """The two fixed predictors alone, with the same fit as any winner's."""
-    train, test = panel.where("split = 'train'"), panel.where(F.col("split") == scorer.on)
-    return fit_predict(train, test, list(scorer.predictors), scorer.target, [scorer.entity, scorer.month], scorer.trees, seed=scorer.seed)
+    """The fixed predictors alone, with the same fit as any winner's."""
+    d = panel.where(F.col("split").isin("train", scorer.on)).withColumn("_train", F.col("split") == "train")
+    return scorer.predictions({"fixed": list(scorer.predictors)}, d)

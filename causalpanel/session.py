@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session's context."""
+    context = spark.sparkContext
+    if getattr(context, "_causalpanel_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="causalpanel-")) / "causalpanel.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(packed))
+    context._causalpanel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of ``sf_dir`` (any path Spark's readers can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ def shown(v):
         return "null"
     if isinstance(v, bool):
         return str(v)
-    return f"{float(v):.6g}" if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else str(v)[:10] if hasattr(v, "year") else str(v)
+    return f"{float(v) + 0.0:.6g}" if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else str(v)[:10] if hasattr(v, "year") else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
