@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causalpanel.session import ship
+
+__all__ = ["bucket_offsets", "checkpoint_dir", "cut", "discard", "hash_bits", "keyed", "n_words", "row_hash", "row_key", "ship", "stored", "words"]
+
 #: A word is a maximal run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The columns that every pipeline stage but the last hands on.
@@ -57,20 +59,6 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session's context."""
-    context = spark.sparkContext
-    if getattr(context, "_causalpanel_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp(prefix="causalpanel-")) / "causalpanel.zip"
-    with zipfile.ZipFile(packed, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(packed))
-    context._causalpanel_shipped = True
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
