@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import safe_div
-from causalpanel.operators import asof, calendar, compare, model, profile, quality, resample, selection, temporal
+from causalpanel.operators import asof, calendar, compare, model, profile, quality, reporting, resample, selection, temporal
 from causalpanel.operators import prices as px
 from causalpanel.operators import rank as rk
 from causalpanel.plans import expr, folds, search
 from causalpanel.session import table
-from causalpanel.sources import panels
+from causalpanel.sources import io, panels
 from causalpanel.sources.panels import ARM_SQL, PRICES_SQL, REPORTS_SQL, SPARSE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,18 +553,18 @@ averaged as (select fold, month, avg(on_ic) as on_ic, avg(off_ic) as off_ic, avg
 
 @query(f"with {MATCHED_SQL} select fold, month, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from averaged")
 def seed_averaged_delta(spark, sf):
-    return rounded(compare.seed_averaged(panels.arm_ic(spark)), "on_ic", "off_ic", "delta")
+    return rounded(compare.seed_averaged(panels.arm_ic(spark, sf)), "on_ic", "off_ic", "delta")
 
 
 @query(f"with {MATCHED_SQL} select fold, seed, month, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from matched")
 def per_seed_delta(spark, sf):
-    return rounded(compare.seed_deltas(panels.arm_ic(spark)), "on_ic", "off_ic", "delta")
+    return rounded(compare.seed_deltas(panels.arm_ic(spark, sf)), "on_ic", "off_ic", "delta")
 
 
 @query(f"""with {MATCHED_SQL} select arm, round(avg(ic), 6) as mean_ic, round(avg(ic) / stddev_samp(ic), 6) as ic_ir, count(*) as months
 from (select 'on' as arm, on_ic as ic from averaged union all select 'off', off_ic from averaged) group by 1""")
 def arm_levels(spark, sf):
-    d = compare.seed_averaged(panels.arm_ic(spark)).unpivot(["fold", "month"], [F.col("on_ic").alias("on"), F.col("off_ic").alias("off")], "arm", "ic")
+    d = compare.seed_averaged(panels.arm_ic(spark, sf)).unpivot(["fold", "month"], [F.col("on_ic").alias("on"), F.col("off_ic").alias("off")], "arm", "ic")
     return rounded(d.groupBy("arm").agg(*rk.ic_summary(F.col("ic"))), "mean_ic", "ic_ir")
 
 
@@ -572,7 +572,7 @@ def arm_levels(spark, sf):
 select fold, round(on_ic, 6) as on_ic, round(off_ic, 6) as off_ic, round(delta, 6) as delta from f
 union all select 'mean', round(avg(on_ic), 6), round(avg(off_ic), 6), round(avg(delta), 6) from f""")
 def fold_rank_ic(spark, sf):
-    d = compare.seed_averaged(panels.arm_ic(spark)).groupBy("fold").agg(*[F.avg(c).alias(c) for c in ("on_ic", "off_ic", "delta")])
+    d = compare.seed_averaged(panels.arm_ic(spark, sf)).groupBy("fold").agg(*[F.avg(c).alias(c) for c in ("on_ic", "off_ic", "delta")])
     return rounded(compare.with_mean_row(d, "fold"), "on_ic", "off_ic", "delta")
 
 
@@ -583,31 +583,35 @@ def _within_sql(predictors: list[str]) -> str:
 
 @query(f"with {ARM_SQL}, {_within_sql(['winner', 'base_c'])} select fold, month, round(winner, 6) as winner, round(base_c, 6) as base_c from m where arm = 'on'")
 def within_arm_two_way(spark, sf):
-    return rounded(compare.within_arm(panels.arm_ic(spark), "on", ["winner", "base_c"]), "winner", "base_c")
+    return rounded(compare.within_arm(panels.arm_ic(spark, sf), "on", ["winner", "base_c"]), "winner", "base_c")
 
 
 @query(f"with {ARM_SQL}, {_within_sql(['winner', 'base_a', 'base_c'])} select fold, month, round(winner, 6) as winner, round(base_a, 6) as base_a, round(base_c, 6) as base_c from m where arm = 'off'")
 def within_arm_n_way(spark, sf):
-    return rounded(compare.within_arm(panels.arm_ic(spark), "off", ["winner", "base_a", "base_c"]), "winner", "base_a", "base_c")
+    return rounded(compare.within_arm(panels.arm_ic(spark, sf), "off", ["winner", "base_a", "base_c"]), "winner", "base_a", "base_c")
 
 
 @query(f"""with {ARM_SQL}, {_within_sql(['winner', 'base_c'])}
 select a.fold, a.month, round(a.winner - a.base_c, 6) + 0.0 as on_lift, round(b.winner - b.base_c, 6) + 0.0 as off_lift, round(a.winner - a.base_c - (b.winner - b.base_c), 6) + 0.0 as difference
 from m a join m b using (fold, month) where a.arm = 'on' and b.arm = 'off'""")
 def lift_difference(spark, sf):
-    return rounded(compare.lifts(panels.arm_ic(spark), "base_c"), "on_lift", "off_lift", "difference")
+    return rounded(compare.lifts(panels.arm_ic(spark, sf), "base_c"), "on_lift", "off_lift", "difference")
 
 
 @query(f"""with {ARM_SQL} select arm, seed, round(avg(ic), 6) as mean_ic, round(avg(ic) / stddev_samp(ic), 6) as ic_ir, count(*) as months
 from arm_ic where predictor = 'winner' group by 1, 2""")
 def seed_level_ic(spark, sf):
-    return rounded(compare.seed_levels(panels.arm_ic(spark)), "mean_ic", "ic_ir")
+    return rounded(compare.seed_levels(panels.arm_ic(spark, sf)), "mean_ic", "ic_ir")
 
 
 WINNERS = [expr.chain([MASKED, NESTED], ["+"]), RATIO, NESTED, expr.chain([_leaf("f_n"), MASKED], ["*"])]
 
 
-@query("""select * from (values ('growth', 2::bigint, 50.0::double), ('lag', 2, 50.0), ('mean', 2, 50.0)) t(family, winners, percent)""")
+WINNERS_SQL = "winners as (select * from (values " + ", ".join(f"({k}, '{e}')" for k, e in enumerate(WINNERS)) + ") t(run, form))"
+
+
+@query(f"""with {WINNERS_SQL}, u as (select run, unnest(list_distinct(regexp_extract_all(form, '([a-z]+)[0-9]+[(]', 1))) as family from winners)
+select family, count(*) as winners, 100.0 * count(*) / (select count(*) from winners) as percent from u group by 1""")
 def family_usage(spark, sf):
     d = spark.createDataFrame([(k, e.families()) for k, e in enumerate(WINNERS)], "run int, families array<string>")
     return compare.family_usage(d)
@@ -629,7 +633,7 @@ def stability(spark, sf):
 @query()
 def block_bootstrap(spark, sf):
     """The draws come from the driver's generator, which SQL has not; tests hold it to plain Python."""
-    d = compare.seed_averaged(panels.arm_ic(spark)).select("fold", "month", "delta")
+    d = compare.seed_averaged(panels.arm_ic(spark, sf)).select("fold", "month", "delta")
     lengths = {r["fold"]: r["count"] for r in d.groupBy("fold").count().orderBy("fold").collect()}
     found = resample.bootstrap(d, resample.draw_starts(spark, lengths))
     return compare.verdict(found.withColumnRenamed("observed", "delta"))
@@ -637,7 +641,7 @@ def block_bootstrap(spark, sf):
 
 @query()
 def seed_block_bootstrap(spark, sf):
-    d = compare.seed_deltas(panels.arm_ic(spark)).select("fold", "seed", "month", "delta")
+    d = compare.seed_deltas(panels.arm_ic(spark, sf)).select("fold", "seed", "month", "delta")
     lengths = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.countDistinct("month").alias("n")).orderBy("fold").collect()}
     drawn = resample.draw_seeds(spark, [100, 101, 102, 103], resample.REPLICATES)
     return resample.seed_bootstrap(d, drawn, resample.draw_starts(spark, lengths, seed=43))
@@ -713,7 +717,7 @@ def seed_averaged_rmse(spark, sf):
   select a.fold, a.month, a.winner - a.base_c as on_lift, b.winner - b.base_c as off_lift from m a join m b using (fold, month) where a.arm = 'on' and b.arm = 'off')
 select fold, round(avg(on_lift), 6) + 0.0 as on_lift, round(avg(off_lift), 6) + 0.0 as off_lift, round(avg(on_lift - off_lift), 6) + 0.0 as difference, count(*) as months from d group by 1""")
 def attribution(spark, sf):
-    d = compare.lifts(panels.arm_ic(spark), "base_c").groupBy("fold")
+    d = compare.lifts(panels.arm_ic(spark, sf), "base_c").groupBy("fold")
     return rounded(d.agg(*[F.avg(c).alias(c) for c in ("on_lift", "off_lift", "difference")], F.count("*").alias("months")), "on_lift", "off_lift", "difference")
 
 
@@ -721,7 +725,7 @@ def attribution(spark, sf):
 l as (select arm, unnest(['winner', 'base_a', 'base_c']) as predictor, unnest([winner, base_a, base_c]) as ic from m)
 select arm, predictor, round(avg(ic), 6) + 0.0 as mean_ic, round(avg(ic) / stddev_samp(ic), 6) + 0.0 as ic_ir, count(*) as months from l group by 1, 2""")
 def predictor_comparison(spark, sf):
-    ic, names, out = panels.arm_ic(spark), ["winner", "base_a", "base_c"], None
+    ic, names, out = panels.arm_ic(spark, sf), ["winner", "base_a", "base_c"], None
     for arm in ("on", "off"):
         d = compare.within_arm(ic, arm, names).unpivot(["fold", "month"], names, "predictor", "ic")
         one = d.groupBy("predictor").agg(*rk.ic_summary(F.col("ic"))).select(F.lit(arm).alias("arm"), "*")
@@ -736,7 +740,7 @@ s as (select *, (count(*) over (partition by arm) - row_number() over (partition
 select arm, baseline, round(lift, 6) + 0.0 as lift, round(p_value, 6) as p_value, round(least(1.0, max(s) over (partition by arm order by p_value, baseline))::double, 6) as adjusted from s""")
 def baseline_family(spark, sf):
     """Holm within each arm's family of baselines; the p-values are a fixed rule of the lifts."""
-    ic, names, out = panels.arm_ic(spark), ["winner", "base_a", "base_c"], None
+    ic, names, out = panels.arm_ic(spark, sf), ["winner", "base_a", "base_c"], None
     for arm in ("on", "off"):
         d = compare.within_arm(ic, arm, names).agg(*[F.avg(F.col("winner") - F.col(b)).alias(b) for b in names[1:]])
         one = d.unpivot([], names[1:], "baseline", "lift").select(F.lit(arm).alias("arm"), "baseline", "lift")
@@ -745,17 +749,148 @@ def baseline_family(spark, sf):
     return rounded(compare.holm(out, order="baseline", family=("arm",)), "lift", "p_value", "adjusted")
 
 
-SIZES = [(f"fold_0{k + 1}", a, len(e.leaves()), e.depth()) for a, shift in (("on", 0), ("off", 1)) for k, e in enumerate(WINNERS[shift:] + WINNERS[:shift])]
+ARM_WINNERS = [(f"fold_0{k + 1}", a, e) for a, shift in (("on", 0), ("off", 1)) for k, e in enumerate(WINNERS[shift:] + WINNERS[:shift])]
+#: Leaves are names of columns; the depth is the most brackets open at once (no chain is bracketed here).
+SIZES_SQL = f"""w as (select * from (values {", ".join(f"('{f}', '{a}', '{e}')" for f, a, e in ARM_WINNERS)}) t(fold, arm, form)),
+s as (
+  select fold, arm, len(regexp_extract_all(form, 'f_[a-z]+'))::int as leaves,
+         list_max([len(regexp_replace(form[1:i], '[^(]', '', 'g')) - len(regexp_replace(form[1:i], '[^)]', '', 'g')) for i in range(len(form) + 1)])::int as depth from w)"""
+
+
+def _sizes(spark):
+    rows = [(f, a, len(e.leaves()), e.depth()) for f, a, e in ARM_WINNERS]
+    return spark.createDataFrame(rows, "fold string, arm string, leaves int, depth int")
 
 
-@query(f"""with s as (select * from (values {", ".join(map(str, SIZES))}) t(fold, arm, leaves, depth))
+@query(f"""with {SIZES_SQL}
 select a.fold, a.leaves as on_leaves, b.leaves as off_leaves, a.depth as on_depth, b.depth as off_depth from s a join s b using (fold) where a.arm = 'on' and b.arm = 'off'""")
 def expression_sizes(spark, sf):
-    d = spark.createDataFrame(SIZES, "fold string, arm string, leaves int, depth int")
+    d = _sizes(spark)
     one = lambda arm: d.where(F.col("arm") == arm).select("fold", F.col("leaves").alias(f"{arm}_leaves"), F.col("depth").alias(f"{arm}_depth"))
     return one("on").join(one("off"), "fold").select("fold", "on_leaves", "off_leaves", "on_depth", "off_depth")
 
 
+@query(f"""with {SIZES_SQL}, j as (
+  select a.fold, a.leaves::double as on_leaves, a.depth::double as on_depth, b.leaves::double as off_leaves, b.depth::double as off_depth, (a.leaves - b.leaves)::double as leaves_delta, (a.depth - b.depth)::double as depth_delta
+  from s a join s b using (fold) where a.arm = 'on' and b.arm = 'off')
+select * from j union all select 'mean', avg(on_leaves), avg(on_depth), avg(off_leaves), avg(off_depth), avg(leaves_delta), avg(depth_delta) from j""")
+def composition_deltas(spark, sf):
+    return reporting.composition(_sizes(spark))
+
+
+# --- catalog, columns, runs
+
+
+@query("""select o_orderpriority, count(*) as n, round(sum(o_totalprice)::double, 2) as total from orders
+where o_orderdate >= date '1996-01-01' and o_orderstatus in ('F', 'O') group by 1""")
+def catalog_sql(spark, sf):
+    text = "select o_orderpriority, count(*) as n, round(cast(sum(o_totalprice) as double), 2) as total from {orders} where o_orderdate >= :since and o_orderstatus in (:a, :b) group by 1"
+    return io.catalog_sql(spark, text, {"orders": table(spark, sf, "orders")}, since=date(1996, 1, 1), a="F", b="O")
+
+
+@query(f"""with {PRICES_SQL}
+select distinct p.entity, p.p_date, round(p.p_price, 6) as p_price, n_name, r_name, s_name, p.dividend, case when p.dividend is not null then spinoff end as spinoff, p.split_factor
+from prices p join supplier on s_suppkey = p.entity join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey""")
+def price_join(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), "s_name", F.col("s_nationkey").alias("n_nationkey"))
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    d = px.price_join(*panels.price_parts(spark, sf), [s, n, table(spark, sf, "region").select("r_regionkey", "r_name")])
+    return rounded(d.select("entity", "p_date", "p_price", "n_name", "r_name", "s_name", "dividend", "spinoff", "split_factor"), "p_price")
+
+
+@query(f"with {REPORTS_SQL} select entity, period_end, round(f_rev, 4) as f_rev, round(f_n, 4) as f_n from reports")
+def selected_columns(spark, sf):
+    d, structural = panels.reports(spark, sf), ["entity", "period_end", "sector", "src_date"]
+    picked = [c for c in quality.candidates(d, structural) if c in ("f_rev", "f_n", "f_qty")]
+    d = quality.delete_features(quality.apply_selected(d, picked, structural), ["f_qty", "entity"], structural)
+    return rounded(d.select("entity", "period_end", "f_rev", "f_n"), "f_rev", "f_n", places=4)
+
+
+@query(f"""with {REPORTS_SQL}, l as (
+  select feature as f, unnest([f_qty, f_rev, f_disc, f_n]) as x, unnest(['f_qty', 'f_rev', 'f_disc', 'f_n']) as c, entity, period_end from reports, (select 1 as feature)),
+p as (select a.c as a, b.c as b, coalesce(a.x, 0) as x, coalesce(b.x, 0) as y from l a join l b using (entity, period_end) where a.c <> b.c),
+k as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as x,
+         rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as y from p)
+select a, b, round(corr(x, y), 6) + 0.0 as rho from k group by 1, 2 union all select c, c, 1.0 from (select unnest(['f_qty', 'f_rev', 'f_disc', 'f_n']) as c)""")
+def spearman_matrix(spark, sf):
+    return rounded(rk.spearman_matrix(panels.reports(spark, sf), ["f_qty", "f_rev", "f_disc", "f_n"]), "rho")
+
+
+PAIRS_SQL = f"""{REPORTS_SQL}, v as (select * from reports where f_qty is not null),
+t as (select unnest([abs(corr(f_qty, f_rev)), abs(corr(f_qty, f_n)), abs(corr(f_rev, f_n)), abs(corr(f_qty, f_disc))]) as rho from v)"""
+
+
+@query(f"""with {PAIRS_SQL} select unnest([0.1, 0.5, 0.9])::double as threshold, unnest([count(*) filter (rho >= 0.1), count(*) filter (rho >= 0.5), count(*) filter (rho >= 0.9)]) as pairs from t""")
+def correlation_thresholds(spark, sf):
+    d = panels.reports(spark, sf).where("f_qty is not null")
+    made = {f"{a}:{b}": F.corr(a, b) for a, b in (("f_qty", "f_rev"), ("f_qty", "f_n"), ("f_rev", "f_n"), ("f_qty", "f_disc"))}
+    return reporting.threshold_counts(quality.melt(d, made, value="rho"), (0.1, 0.5, 0.9))
+
+
+@query(f"""with {EXPANDED_SQL}, l as (select unnest(['f_qty', 'f_rev', 'f_disc', 'f_n', 'f_const']) as feature, unnest([f_qty, f_rev, f_disc, f_n, f_const]) as x from panel),
+t as (select count(monthly_return) as n, avg(monthly_return) as mean, stddev_samp(monthly_return) as sd, min(monthly_return) as least, max(monthly_return) as most from panel)
+select feature, round(avg((x is null)::int), 6) as missing_share, count(*) filter (isinf(x)) as infinities, any_value(n) as n, round(any_value(mean), 6) as mean, round(any_value(sd), 6) as sd, round(any_value(least), 6) as least, round(any_value(most), 6) as most
+from l, t group by 1""")
+def eda_snapshot(spark, sf):
+    return rounded(reporting.snapshot(_panel(spark, sf), FEATURES, "monthly_return"), "missing_share", "mean", "sd", "least", "most")
+
+
+@query(f"""with {EXPANDED_SQL}
+select (select count(*) from reports) as reports_rows, (select count(distinct entity) from reports) as reports_entities, (select count(*) from panel) as panel_rows,
+       (select count(distinct target_date) from panel) as panel_months, (select round(avg(monthly_return), 6) from ret) as returns_mean""")
+def master_summary(spark, sf):
+    reports = panels.reports(spark, sf).agg(F.count("*").alias("rows"), F.countDistinct("entity").alias("entities"))
+    panel = _panel(spark, sf).agg(F.count("*").alias("rows"), F.countDistinct("target_date").alias("months"))
+    returns = _returns(spark, sf).agg(F.round(F.avg("monthly_return"), 6).alias("mean"))
+    return reporting.master({"reports": reports, "panel": panel, "returns": returns})
+
+
+RESULTS_SQL = f"""{ARM_SQL}, results as (
+  select arm, seed, fold, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) as ic_ir, sqrt(avg(ic * ic)) as rmse from arm_ic where predictor = 'winner' group by 1, 2, 3)"""
+
+
+def _results(spark, sf):
+    d = panels.arm_ic(spark, sf).where("predictor = 'winner'").groupBy("arm", "seed", "fold")
+    return d.agg(F.avg("ic").alias("mean_ic"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), F.sqrt(F.avg(F.col("ic") * F.col("ic"))).alias("rmse"))
+
+
+@query(f"with {RESULTS_SQL} select arm || ':' || seed as run, count(*) as folds, round(avg(rmse), 6) + 0.0 as rmse, round(avg(mean_ic), 6) + 0.0 as mean_ic, round(avg(ic_ir), 6) + 0.0 as ic_ir from results group by 1")
+def run_means(spark, sf):
+    d = _results(spark, sf).withColumn("run", F.concat_ws(":", "arm", "seed"))
+    return rounded(reporting.run_means(d), "rmse", "mean_ic", "ic_ir")
+
+
+@query(f"""with {ARM_SQL}, w as (select * from arm_ic where predictor = 'winner'), m as (select arm, fold, month, avg(ic) as ic from w group by 1, 2, 3),
+f as (select arm, fold, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) as ic_ir, count(*) as months from m group by 1, 2),
+n as (select arm, fold, count(distinct seed) as seeds from w group by 1, 2), j as (select * from f join n using (arm, fold)),
+a as (select arm, fold, mean_ic, ic_ir, months, seeds from j union all select arm, 'mean', avg(mean_ic), avg(ic_ir), sum(months), max(seeds) from j group by 1)
+select arm, fold, round(mean_ic, 6) + 0.0 as mean_ic, round(ic_ir, 6) + 0.0 as ic_ir, months::bigint as months, seeds from a""")
+def arm_fold_summary(spark, sf):
+    return rounded(reporting.fold_summary(panels.arm_ic(spark, sf)), "mean_ic", "ic_ir")
+
+
+@query(f"""with {RESULTS_SQL}, s as (select seed, avg(mean_ic) filter (arm = 'on') as n, avg(mean_ic) filter (arm = 'off') as f from results group by 1),
+o as (select *, (n + f) / 2 as objective from s)
+select seed, round(n, 6) + 0.0 as "on", round(f, 6) + 0.0 as "off", round(objective, 6) + 0.0 as objective, objective is not null and row_number() over (order by objective desc nulls last, seed) = 1 as best from o""")
+def sweep_table(spark, sf):
+    """The objective of a sweep, the mean of both arms, by the values of one setting (here the seed)."""
+    return rounded(reporting.sweep_table(_results(spark, sf), "seed"), "on", "off", "objective")
+
+
+@query(f"""with {ARM_SQL}, g as (
+  select arm || ':' || seed as run, (year(month) * 12 + month(month) - 1995 * 12)::int as generation, round(max(ic), 6) as best, count(*)::int as diversity from arm_ic group by 1, 2),
+s as (select *, max(best) over (partition by run order by generation) as so_far, max(best) over (partition by run order by generation rows between unbounded preceding and 1 preceding) as b from g),
+t as (select *, greatest(so_far - b, 0.0) as gain from s),
+u as (select *, max(case when b is null or gain > 0 then generation end) over (partition by run order by generation) as last from t)
+select run, generation, round(best, 6) + 0.0 as best, diversity, round(so_far, 6) + 0.0 as so_far, round(case when b is not null then gain end, 6) + 0.0 as gain, (generation - last)::int as stale from u""")
+def run_history(spark, sf):
+    month = F.year("month") * 12 + F.month("month") - 1995 * 12
+    d = panels.arm_ic(spark, sf).groupBy(F.concat_ws(":", "arm", "seed").alias("run"), month.cast("int").alias("generation"))
+    d = reporting.history(d.agg(F.round(F.max("ic"), 6).alias("best"), F.count("*").cast("int").alias("diversity")))
+    first = F.row_number().over(Window.partitionBy("run").orderBy("generation")) == 1
+    return rounded(d.withColumn("gain", F.when(~first, F.col("gain"))), "best", "so_far", "gain")
+
+
 # --- models (no SQL can train them)
 
 

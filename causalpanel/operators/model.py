@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import is_missing
 from causalpanel.operators.rank import rmse, spearman, value_ranks
+from causalpanel.session import cut
 
 #: Rows that a column is shuffled among.
 BUCKET = 4096
@@ -43,7 +44,7 @@ def mutual_information(d: DataFrame, columns: list[str], target: str, bins: int
     follows from how many rows are below it (``value_ranks``), so equal values share one.
     """
     filled = d.select(F.col(target).cast("double").alias("_y"), *[F.coalesce(F.when(~is_missing(F.col(c)), F.col(c)), F.lit(0.0)).cast("double").alias(c) for c in columns])
-    cells = filled.unpivot(["_y"], columns, "feature", "x").groupBy("feature", "x", "_y").agg(F.count("*").alias("_n"))
+    cells = cut(filled.unpivot(["_y"], columns, "feature", "x").groupBy("feature", "x", "_y").agg(F.count("*").alias("_n")))
     for c, name in (("x", "a"), ("_y", "b")):
         ranked = value_ranks(cells.groupBy("feature", c).agg(F.sum("_n").alias("_m")), ["feature"], c, "_m")
         bin_ = F.least(F.floor(F.col("_below") * bins / F.col("_all")), F.lit(bins - 1))

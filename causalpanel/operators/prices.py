@@ -22,6 +22,19 @@ def adjust_prices(d: DataFrame, entity: str = "entity", date: str = "p_date", pr
     return d.withColumn("adj_price", F.col(price) / F.col("split_cum") * F.col("dividend_cum"))
 
 
+def price_join(prices: DataFrame, dividends: DataFrame, splits: DataFrame, identity: list[DataFrame], entity: str = "entity", date: str = "p_date") -> DataFrame:
+    """Distinct price rows of entities that every ``identity`` table has, with the day's dividend and split.
+
+    ``identity`` tables join by the columns that they share with what is there. Dividends (by ex_date) and
+    splits (by split_date) are optional; several of a day make several rows.
+    """
+    d = prices
+    for one in identity:
+        d = d.join(one, [c for c in one.columns if c in d.columns])
+    d = d.join(dividends.withColumnRenamed("ex_date", date), [entity, date], "left")
+    return d.join(splits.withColumnRenamed("split_date", date), [entity, date], "left").distinct()
+
+
 def flag_outliers(d: DataFrame, column: str, entity: str, date: str, k: float = 5.0, rows: int = 30) -> DataFrame:
     """``d`` with is_outlier and smoothed: the trailing mean instead of a value beyond k deviations,
     or the previous raw value where that mean is negative. The window includes the row itself."""

@@ -101,6 +101,21 @@ def sample_entities(d: DataFrame, entity: str, sector: str, count: int, seed: in
     return d.join(kept.select(entity, sector), [entity, sector], "left_semi")
 
 
+def candidates(d: DataFrame, structural: list[str]) -> list[str]:
+    """The columns that may be selected: all but the structural ones, in the frame's order; no job."""
+    return [c for c in d.columns if c not in structural]
+
+
+def apply_selected(d: DataFrame, selected: list[str], structural: list[str]) -> DataFrame:
+    """Structural columns and the selected ones that there are, in the frame's order."""
+    return d.select(*[c for c in d.columns if c in structural or c in selected])
+
+
+def delete_features(d: DataFrame, features: list[str], structural: list[str] = ()) -> DataFrame:
+    """``d`` without the named features; structural columns stay whatever the list says."""
+    return d.drop(*[c for c in features if c not in structural])
+
+
 def column_cap(d: DataFrame, required: list[str], most: int) -> DataFrame:
     rest = [c for c in d.columns if c not in required]
     return d.select(*required, *rest[: max(0, most - len(required))])

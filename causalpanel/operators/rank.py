@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import average_rank, is_missing, safe_corr
+from causalpanel.session import cut
 
 #: Ranges that the values of one column are cut into for their ranks.
 RANGES = 64
@@ -48,7 +49,7 @@ def spearman(d: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> Dat
     """
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a).cast("double") + 0.0).alias("x"), (F.col(b).cast("double") + 0.0).alias("y")) for a, b in pairs]))
     long = d.select(rows.alias("r")).select("r.*").where(~is_missing(F.col("x")) & ~is_missing(F.col("y")))
-    cells = long.groupBy("a", "b", "x", "y").agg(F.count("*").alias("_n"))
+    cells = cut(long.groupBy("a", "b", "x", "y").agg(F.count("*").alias("_n")))  # read by both sides
     for c in ("x", "y"):
         ranked = value_ranks(cells.groupBy("a", "b", c).agg(F.sum("_n").alias("_m")), ["a", "b"], c, "_m")
         centred = F.col("_below") + F.col("_m") / 2.0 - F.col("_all") / 2.0  # the mean rank less the mean of all

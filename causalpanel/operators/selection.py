@@ -72,6 +72,31 @@ def bottom_fraction(scores: DataFrame, share: float = 0.10) -> DataFrame:
     return scores.withColumn("flagged", F.row_number().over(order) <= F.floor(n * share))
 
 
+def legacy_select(
+    train: DataFrame, columns: list[str], target: str, share: float = 0.10, most: float = 0.8, count: int | None = None, trees: int = 100, repeats: int = 5, seed: int = 0,
+) -> dict[str, list[str]]:
+    """The earlier selector: weak, uninformative, correlated and unimportant features leave, in this order.
+
+    The weakest ``share`` by Pearson or by rank correlation goes, then by mutual information; of pairs that
+    correlate beyond ``most`` the one of less information goes; the forest's ``count`` most important stay.
+    Names by step; only tables with a row per feature or pair reach the driver.
+    """
+    weak = set()
+    scores = [quality.pearson(train, columns, target).withColumnRenamed("correlation", "score"), model.spearman_scores(train, columns, target)]
+    for d in scores:
+        all_ = train.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(d, "feature", "left")
+        weak |= {r["feature"] for r in bottom_fraction(all_, share).where("flagged").collect()}
+    strong = [c for c in columns if c not in weak]
+    told = {r["feature"]: r["score"] for r in model.mutual_information(train, strong, target).collect()} if strong else {}
+    dull = set(sorted(strong, key=lambda c: (told.get(c, 0.0), c))[: int(len(strong) * share)])
+    strong = [c for c in strong if c not in dull]
+    rho = {(r["a"], r["b"]): r["rho"] for r in spearman(train.fillna(0, strong), list(combinations(strong, 2)), 2).collect()} if len(strong) > 1 else {}
+    apart = greedy_uncorrelated([(c, told.get(c, 0.0)) for c in strong], rho, most)
+    worth = {r["feature"]: r["score"] for r in model.permutation_importance(train, apart, target, trees, repeats, seed).collect()} if apart else {}
+    kept = sorted(apart, key=lambda c: (-worth.get(c, 0.0), c))[:count]
+    return {"weak": sorted(weak), "uninformative": sorted(dull), "correlated": sorted(set(strong) - set(apart)), "selected": kept}
+
+
 def select_features(
     train: DataFrame, columns: list[str], target: str, entity: str, sector: str, most: int | None = None, trees: int = 100, repeats: int = 5, seed: int = 0, cut: float = CUT,
 ) -> dict[str, DataFrame]:

@@ -109,6 +109,24 @@ def chain(terms: list[Expr], signs: list[str]) -> Expr:
     return terms[0] if len(terms) == 1 else Chain(terms[0], tuple(zip(signs, terms[1:], strict=True)))
 
 
+def plain(e: Expr) -> str | list:
+    """An expression as JSON values: a leaf's name, [operator, period, inner], or [first, sign, term, ...]."""
+    if isinstance(e, Leaf):
+        return e.name
+    if isinstance(e, Temporal):
+        return [e.op.family, e.op.period, plain(e.inner)]
+    return [plain(e.first), *[x for s, t in e.rest for x in (s, plain(t))]]
+
+
+def parsed(x: str | list) -> Expr:
+    """The expression that ``plain`` wrote."""
+    if isinstance(x, str):
+        return Leaf(x)
+    if isinstance(x[1], int):
+        return Temporal(TemporalOp(x[0], x[1]), parsed(x[2]))
+    return Chain(parsed(x[0]), tuple((s, parsed(t)) for s, t in zip(x[1::2], x[2::2], strict=True)))
+
+
 def canonical(e: Expr, periods: tuple[int, ...] = LAGS) -> Expr:
     """Stacked lags become one lag if the vocabulary has it; a lag moves inside a mean.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from causalpanel.operators import boost
 from causalpanel.operators.model import errors
 from causalpanel.operators.rank import monthly_rank_ic
-from causalpanel.plans.expr import Expr, Grammar, canonical, feature_frame
+from causalpanel.plans.expr import Expr, Grammar, canonical, feature_frame, parsed, plain
 from causalpanel.plans.folds import derive_seed
 
 Scorer = Callable[[list[Expr]], dict[Expr, float]]
@@ -34,7 +34,7 @@ class Settings:
 
 @dataclass
 class State:
-    """All that a run needs to go on: JSON-ready but for the expressions and the generator's state."""
+    """All that a run needs to go on; ``to_json`` and ``from_json`` keep it between sessions."""
 
     population: list[Expr]
     known: dict[Expr, float] = field(default_factory=dict)
@@ -44,6 +44,21 @@ class State:
     rng: object = None
 
 
+def to_json(state: State) -> dict:
+    """All of a state as JSON values."""
+    version, numbers, rest = state.rng
+    return {
+        "population": [plain(e) for e in state.population], "known": [[plain(e), x] for e, x in state.known.items()],
+        "best": state.best, "admitted": state.admitted, "diversity": state.diversity, "rng": [version, list(numbers), rest],
+    }
+
+
+def from_json(data: dict) -> State:
+    version, numbers, rest = data["rng"]
+    known = {parsed(e): float(x) for e, x in data["known"]}
+    return State([parsed(e) for e in data["population"]], known, data["best"], data["admitted"], data["diversity"], (version, tuple(numbers), rest))
+
+
 def tournament(scores: dict[Expr, float], size: int, rng: random.Random) -> Expr:
     drawn = [rng.choice(list(scores)) for _ in range(size)]
     return max(drawn, key=lambda e: scores[e])

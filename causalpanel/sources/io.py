@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,19 +40,60 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def write_fold(splits: DataFrame, fold, root: str, features: list[str], extra: dict | None = None) -> Path:
-    """One fold: parquet by split, its metadata and its selected features."""
-    folder = Path(root) / fold.category / fold.name
-    splits.write.mode("overwrite").partitionBy("split").parquet(str(folder / "panel"))
-    save_json(folder / "fold_metadata.json", asdict(fold) | (extra or {}))
-    (folder / "selected_features.txt").write_text("\n".join(features))
+def catalog_sql(spark: SparkSession, text: str, frames: dict[str, DataFrame] | None = None, **values) -> DataFrame:
+    """SQL over views, and over ``frames`` as {name}; ``values`` bind to :name, never by pasting text."""
+    return spark.sql(text, args=values or None, **(frames or {}))
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, form: str = "parquet") -> None:
+    """A folder per table below ``root``: the artifacts of a selection, or exported predictions."""
+    for name, d in tables.items():
+        d.write.mode("overwrite").format(form).option("header", True).save(f"{root}/{name}")
+
+
+def _file(spark: SparkSession, path: str):
+    """The file system that ``path`` names, and the path, as Hadoop sees them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written aside and renamed, so that a reader never sees half of it; any store that Spark writes."""
+    fs, where = _file(spark, path)
+    aside = _file(spark, f"{path}.tmp")[1]
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(aside, where):
+        raise OSError(f"cannot rename {aside} to {where}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    fs, where = _file(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    data = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    return data.decode()
+
+
+def write_fold(splits: DataFrame, fold, root: str, features: list[str], extra: dict | None = None) -> str:
+    """One fold: parquet by split, its metadata and its selected features, in one store; gives its folder."""
+    spark, folder = splits.sparkSession, f"{root}/{fold.category}/{fold.name}"
+    splits.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/panel")
+    save_json(spark, f"{folder}/fold_metadata.json", asdict(fold) | (extra or {}))
+    write_text(spark, f"{folder}/selected_features.txt", "\n".join(features))
     return folder
 
 
-def discover_folds(root: str) -> list[dict]:
+def discover_folds(spark: SparkSession, root: str) -> list[dict]:
     """The metadata of all folds below ``root``, in order of category and name."""
-    files = sorted(Path(root).glob("*/fold_*/fold_metadata.json"))
-    return [json.loads(p.read_text()) | {"path": str(p.parent)} for p in files]
+    fs, pattern = _file(spark, f"{root}/*/fold_*/fold_metadata.json")
+    paths = sorted(x.getPath().toString() for x in fs.globStatus(pattern) or [])
+    return [load_json(spark, p) | {"path": p.rsplit("/", 1)[0]} for p in paths]
 
 
 def load_results(spark: SparkSession, root: str) -> DataFrame:
@@ -64,19 +102,14 @@ def load_results(spark: SparkSession, root: str) -> DataFrame:
     return d.withColumn("fold", F.regexp_extract(F.input_file_name(), r"(fold_\d+)/fold_result\.json$", 1))
 
 
-def save_json(path: str | Path, data: dict) -> None:
-    """Written aside and renamed, so that a reader never sees half of it."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=path.parent, delete=False, suffix=".tmp") as f:
-        json.dump(data, f, default=str)
-    os.replace(f.name, path)
+def save_json(spark: SparkSession, path: str, data: dict) -> None:
+    write_text(spark, path, json.dumps(data, default=str))
 
 
-def load_json(path: str | Path, fingerprint: str | None = None) -> dict | None:
+def load_json(spark: SparkSession, path: str, fingerprint: str | None = None) -> dict | None:
     """A checkpoint, or None if there is none or it is of other inputs."""
-    path = Path(path)
-    found = json.loads(path.read_text()) if path.exists() else None
+    text = read_text(spark, path)
+    found = json.loads(text) if text else None
     return found if found is None or fingerprint is None or found.get("fingerprint") == fingerprint else None
 
 

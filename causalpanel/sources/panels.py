@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causalpanel.functions.guards import safe_corr
 from causalpanel.session import table
 
 
@@ -45,19 +46,24 @@ def sparse_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity"), month).agg(F.sum("o_totalprice").cast("double").alias("amount"))
 
 
-def arm_ic(spark: SparkSession) -> DataFrame:
-    """arm, seed, fold, month, predictor, ic: literal rows by a rule, some months missing."""
-    d = spark.range(2 * 4 * 5 * 12 * 3)
-    i = F.col("id")
-    d = d.select((i % 2).alias("a"), (F.floor(i / 2) % 4).alias("s"), (F.floor(i / 8) % 5).alias("f"), (F.floor(i / 40) % 12).alias("m"), (F.floor(i / 480) % 3).alias("p"))
-    raw = (F.col("a") * 31 + F.col("s") * 17 + F.col("f") * 13 + F.col("m") * 7 + F.col("p") * 5 + F.col("a") * F.col("m") * 3) * 7919 % 1000
-    d = d.withColumn("raw", raw).where("(a + 2 * s + 3 * f + 5 * m + 7 * p) % 11 <> 0")
-    return d.select(
-        F.when(F.col("a") == 0, "on").otherwise("off").alias("arm"), (F.col("s") + 100).cast("int").alias("seed"), F.concat(F.lit("fold_0"), F.col("f") + 1).alias("fold"),
-        F.add_months(F.lit("2000-01-01").cast("date"), (F.col("f") * 12 + F.col("m")).cast("int")).alias("month"),
-        F.element_at(F.array(F.lit("winner"), F.lit("base_a"), F.lit("base_c")), (F.col("p") + 1).cast("int")).alias("predictor"),
-        ((F.col("raw") - 480) / 1000.0).cast("double").alias("ic"),
-    )
+def price_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The price panel as three tables: prices, dividends by ex_date, splits by split_date."""
+    d = prices(spark, sf_dir)
+    paid = d.where("dividend is not null").select("entity", F.col("p_date").alias("ex_date"), "dividend", "spinoff")
+    split = d.where("split_factor is not null").select("entity", F.col("p_date").alias("split_date"), "split_factor")
+    return d.select("entity", "p_date", "p_price"), paid, split
+
+
+def arm_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arm, seed, fold, month, predictor, ic: monthly correlations of two columns, by line, supplier and part."""
+    d = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(1995, 1999))
+    keys = [
+        F.when(F.col("l_linenumber") % 2 == 0, "on").otherwise("off").alias("arm"), (F.col("l_suppkey") % 4 + 100).cast("int").alias("seed"),
+        F.concat(F.lit("fold_0"), F.year("l_shipdate") - 1994).alias("fold"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"),
+        F.element_at(F.array(F.lit("winner"), F.lit("base_a"), F.lit("base_c")), (F.col("l_partkey") % 3 + 1).cast("int")).alias("predictor"),
+    ]
+    x, y = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    return d.groupBy(*keys).agg(safe_corr(x, y).alias("ic")).where("ic is not null")
 
 
 #: The same panels for DuckDB; a query's SQL begins with ``with`` and the ones it needs.
@@ -83,10 +89,9 @@ PRICES_SQL = """prices as (
 SPARSE_SQL = """sparse as (
   select o_custkey as entity, cast(date_trunc('month', o_orderdate) as date) as month, sum(o_totalprice)::double as amount
   from orders group by 1, 2)"""
-ARM_SQL = """i as (
-  select id % 2 as a, id // 2 % 4 as s, id // 8 % 5 as f, id // 40 % 12 as m, id // 480 % 3 as p from range(1440) t(id)),
-arm_ic as (
-  select case a when 0 then 'on' else 'off' end as arm, (s + 100)::int as seed, 'fold_0' || (f + 1) as fold,
-         (date '2000-01-01' + to_months((f * 12 + m)::int))::date as month, ['winner', 'base_a', 'base_c'][p + 1] as predictor,
-         (((a * 31 + s * 17 + f * 13 + m * 7 + p * 5 + a * m * 3) * 7919 % 1000) - 480) / 1000.0::double as ic
-  from i where (a + 2 * s + 3 * f + 5 * m + 7 * p) % 11 <> 0)"""
+ARM_SQL = """arm_ic as (
+  select case l_linenumber % 2 when 0 then 'on' else 'off' end as arm, (l_suppkey % 4 + 100)::int as seed, 'fold_0' || (year(l_shipdate) - 1994) as fold,
+         cast(date_trunc('month', l_shipdate) as date) as month, ['winner', 'base_a', 'base_c'][(l_partkey % 3 + 1)::int] as predictor,
+         corr(l_discount::double, l_tax::double) as ic
+  from lineitem where year(l_shipdate) between 1995 and 1999
+  group by 1, 2, 3, 4, 5 having min(l_discount) < max(l_discount) and min(l_tax) < max(l_tax))"""

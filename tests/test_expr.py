@@ -36,7 +36,8 @@ def test_canonical_forms():
     mean = lambda k, e: Temporal(TemporalOp("mean", k), e)
     delta = lambda k, e: Temporal(TemporalOp("delta", k), e)
     x = Leaf("a")
-    assert canonical(lag(1, lag(2, x))) == lag(3, x)
+    assert canonical(lag(1, lag(1, x))) == lag(2, x) and canonical(lag(2, lag(2, x))) == lag(4, x)
+    assert canonical(lag(1, lag(2, x))) == lag(2, lag(1, x))  # no lag of three in the vocabulary
     assert canonical(mean(3, lag(1, x))) == lag(1, mean(3, x))
     assert canonical(delta(1, delta(1, x))) == delta(1, delta(1, x))
     assert canonical(mean(2, mean(2, x))) == mean(2, mean(2, x))

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import null_safe_clip, safe_div
-from causalpanel.operators import asof, compare, model, prices, quality, resample, selection
-from causalpanel.operators.rank import monthly_rank_ic
-from causalpanel.plans import expr, folds, search
+from causalpanel.operators import asof, boost, compare, model, prices, quality, reporting, resample, selection
+from causalpanel.operators.rank import monthly_rank_ic, spearman
+from causalpanel.plans import expr, folds, run, search
 from causalpanel.sources import io
 
 
@@ -130,16 +130,21 @@ def test_files(spark, tmp_path):
     d = spark.createDataFrame([(1, "train", 0.5), (2, "test", 1.5)], "entity int, split string, x double")
     fold = folds.Fold("fold_01", "final_test", (2000, 2001), (2003, 2003), (2002, 2002))
     folder = io.write_fold(d, fold, str(tmp_path), ["x"], {"rows": 2})
-    assert io.discover_folds(str(tmp_path))[0]["rows"] == 2
-    assert spark.read.parquet(str(folder / "panel")).where("split = 'test'").count() == 1
-    io.save_json(tmp_path / "run" / "fold_01" / "fold_result.json", {"winner": "a", "fingerprint": "f"})
-    assert io.load_json(tmp_path / "run" / "fold_01" / "fold_result.json", "f")["winner"] == "a"
-    assert io.load_json(tmp_path / "run" / "fold_01" / "fold_result.json", "g") is None and io.load_json(tmp_path / "none") is None
+    assert io.discover_folds(spark, str(tmp_path))[0]["rows"] == 2
+    assert spark.read.parquet(f"{folder}/panel").where("split = 'test'").count() == 1
+    result = f"{tmp_path}/run/fold_01/fold_result.json"
+    io.save_json(spark, result, {"winner": "b"})
+    io.save_json(spark, result, {"winner": "a", "fingerprint": "f"})
+    assert io.load_json(spark, result, "f")["winner"] == "a"
+    assert io.load_json(spark, result, "g") is None and io.load_json(spark, f"{tmp_path}/none") is None
     assert io.load_results(spark, str(tmp_path / "run")).first()["fold"] == "fold_01"
     io.write_csv(d, str(tmp_path / "csv"), single=True)
     assert io.read_csv(spark, str(tmp_path / "csv"), "entity int, split string, x double").count() == 2
     assert io.checkpoint_table(d, str(tmp_path / "t"), ["split"]).count() == 2
-    assert json.loads((folder / "fold_metadata.json").read_text())["train"] == [2000, 2001]
+    assert json.loads(open(f"{folder}/fold_metadata.json").read())["train"] == [2000, 2001]
+    assert open(f"{folder}/selected_features.txt").read() == "x"
+    io.write_tables({"scores": d, "clusters": d}, f"{tmp_path}/selection", "csv")
+    assert io.read_csv(spark, f"{tmp_path}/selection/scores", "entity int, split string, x double").count() == 2
 
 
 def test_search_improves_and_repeats():
@@ -179,3 +184,120 @@ def test_consensus_selection(spark):
     assert kept | {r["feature"] for r in found["rejected"].collect()} == {"a", "a2", "b", "noise", "flat"}
     flagged = selection.bottom_fraction(spark.createDataFrame([("x", 0.1), ("y", -0.5), ("z", None)], "feature string, score double"), 0.4)
     assert [r["feature"] for r in flagged.where("flagged").collect()] == ["z"]
+
+
+def plain_boost(x, y, trees, depth, rate, bins):
+    """Each split by looking at every cut of every input, row by row."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    made = np.full(len(y), y.mean())
+
+    def grown(rows, left, level):
+        best = (1e-12, None, None)
+        for j, cuts in enumerate(edges):
+            for c in cuts:
+                low = [r for r in rows if x[r, j] <= c]
+                high = [r for r in rows if x[r, j] > c]
+                if low and high:
+                    gain = sum(left[low]) ** 2 / len(low) + sum(left[high]) ** 2 / len(high) - sum(left[rows]) ** 2 / len(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, low, high)
+        if level == depth or best[1] is None:
+            return {r: rate * left[rows].mean() for r in rows}
+        return grown(best[1], left, level + 1) | grown(best[2], left, level + 1)
+
+    for _ in range(trees):
+        step = grown(list(range(len(y))), y - made, 0)
+        made = made + np.array([step[r] for r in range(len(y))])
+    return made
+
+
+def test_boosted_trees_equal_a_plain_version():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = x[:, 0] + np.abs(x[:, 1]) + 0.1 * rng.normal(size=80)
+    made = boost.fit(x, y, trees=4, depth=3, bins=8)
+    assert made.predict(x) == pytest.approx(plain_boost(x, y, 4, 3, 0.1, 8))
+    clipped = boost.fit(x, y, trees=2, clip=0.1, free=1)
+    assert clipped.low[0] == -np.inf and (clipped.low[1:] == np.sort(x[:, 1:], axis=0)[7]).all()
+
+
+def test_all_fits_of_a_pass_equal_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    rows = [(int(k), 1, *map(float, v), float(v[0] - v[2])) for k, v in enumerate(x)] + [(900, 1, None, 1.0, 2.0, 3.0), (901, 1, 1.0, float("nan"), 0.0, 1.0)]
+    d = spark.createDataFrame(rows, "entity int, month int, a double, b double, c double, y double").repartition(5)
+    sets = {"ab": ["a", "b"], "abc": ["a", "b", "c"], "c": ["c"]}
+    models = boost.fit_all(d, sets, "y", ["entity", "month"], trees=5)
+    p = boost.predict_all(d, sets, models, "y", ["entity"]).collect()
+    assert {n: sum(r["model"] == n for r in p) for n in sets} == {"ab": 300, "abc": 300, "c": 302}
+    again = boost.fit_all(d.repartition(2), sets, "y", ["entity", "month"], trees=5)
+    assert all((models[n].values == again[n].values).all() for n in sets)
+    by_id = {r["entity"]: r["prediction"] for r in p if r["model"] == "abc"}
+    assert [by_id[k] for k in range(300)] == pytest.approx(models["abc"].predict(x).tolist())
+    assert models["abc"].predict(x) == pytest.approx(boost.fit(x, x[:, 0] - x[:, 2], trees=5).predict(x))
+
+
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_spearman_equals_plain_ranks(spark, monkeypatch, ranges):
+    monkeypatch.setattr("causalpanel.operators.rank.RANGES", ranges)
+    rng = np.random.default_rng(6)
+    a, b = np.where(rng.random(400) < 0.4, 0.0, rng.normal(size=400)), np.round(rng.normal(size=400), 1)
+    rank = lambda v: np.array([(v < x).sum() + (v == x).sum() / 2 for x in v])
+    d = spark.createDataFrame([(float(x), float(y), 1.0) for x, y in zip(a, b, strict=True)], "a double, b double, c double")
+    found = {r["b"]: (r["rho"], r["n"]) for r in spearman(d, [("a", "b"), ("a", "c")]).collect()}
+    assert found["b"] == (pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1]), 400) and found["c"] == (None, 400)
+
+
+def test_permutation_and_legacy_selection(spark):
+    rng = random.Random(8)
+    rows = [(a := rng.random(), a + 0.001 * rng.random(), rng.random(), rng.random(), 3 * a) for _ in range(200)]
+    d = spark.createDataFrame(rows, "a double, a2 double, b double, noise double, y double")
+    found = {r["feature"]: r["score"] for r in model.permutation_importance(d, ["a", "b"], "y", 10, 2).collect()}
+    assert found["a"] > 0.3 > abs(found["b"])
+    picked = selection.legacy_select(d, ["a", "a2", "b", "noise"], "y", share=0.25, trees=10, repeats=1)
+    assert len({"a", "a2"} & set(picked["selected"])) == 1 and picked["weak"] and picked["correlated"]
+
+
+def test_state_survives_json_and_a_run_resumes():
+    grammar = expr.Grammar(["a", "b", "c"], most_leaves=3)
+    score = lambda es: {e: e.leaves().count("c") - 0.1 * len(e.leaves()) for e in es}
+    settings, kept = search.Settings(population=8, generations=9), []
+    best, state, known = search.search(score, grammar, settings, 3, save=lambda s: kept.append(json.loads(json.dumps(search.to_json(s)))))
+    asked = []
+    again, state2, known2 = search.search(lambda es: asked.extend(es) or score(es), grammar, settings, 3, search.from_json(kept[3]))
+    assert (again, known2, state2.best) == (best, known, state.best) and not set(asked) & set(search.from_json(kept[3]).known)
+
+
+def test_lags_outside_the_vocabulary_stay_nested():
+    lag = lambda k, e: expr.Temporal(expr.TemporalOp("lag", k), e)
+    x = expr.Leaf("x")
+    assert expr.canonical(lag(1, lag(1, x))) == lag(2, x) and expr.canonical(lag(4, lag(4, x))) == lag(4, lag(4, x))
+    assert expr.canonical(lag(1, lag(4, x))) == expr.canonical(lag(4, lag(1, x))) == lag(4, lag(1, x))
+    assert not expr.Grammar(["x"], most_depth=3, most_nesting=3).valid(lag(3, x)) and expr.Grammar(["x"]).valid(lag(2, x))
+
+
+def test_folds_run_and_are_skipped_when_done(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for e in range(12):
+        for m in range(60):
+            y, q = 2000 + m // 12, m // 3
+            rows.append((e, date(2000 + q // 4, q % 4 * 3 + 1, 1), date(y, m % 12 + 1, 1), f := (e * 7 + q * 3) % 11 + 0.5, rng.random(), rng.random(), rng.random(), f / 50 + 0.01 * rng.random()))
+    panel = spark.createDataFrame(rows, "entity int, period_end date, target_date date, f double, g double, prev_month_return double, prev_month_sector_return double, monthly_return double")
+    wanted = [folds.Fold("fold_01", "development", (2000, 2001), (2002, 2002)), folds.Fold("fold_01", "final_test", (2000, 2002), (2004, 2004), (2003, 2003))]
+    settings, grammar = search.Settings(population=4, generations=2), expr.Grammar(["f", "g"], most_leaves=2)
+    d = run.run(panel, wanted, ["f", "g"], grammar, settings, 1, str(tmp_path), random_draws=2, trees=5)
+    first = sorted(map(str, d.collect()))
+    assert len(first) == 6 and {r["predictor"] for r in d.collect()} == {"winner", "base_a", "base_c"}
+    assert next(r for r in d.collect() if r["predictor"] == "winner" and r["category"] == "final_test")["mean_ic"] > 0.5
+    assert spark.read.parquet(f"{tmp_path}/final_test/fold_01/predictions").groupBy("model").count().count() == 3
+    monkeypatch.setattr(search, "search", None)  # nothing is searched again
+    assert sorted(map(str, run.run(panel, wanted, ["f", "g"], grammar, settings, 1, str(tmp_path), random_draws=2, trees=5).collect())) == first
+
+
+def test_sweep(spark):
+    rows = run.sweep(lambda chosen, made, arm: made.population / 10 + (arm == "on") * chosen["trees"], {"population": [4, 8], "trees": [1, 2]}, search.Settings())
+    assert len(rows) == 8
+    d = spark.createDataFrame([(r["trees"], r["arm"], r["mean_ic"]) for r in rows], "trees int, arm string, mean_ic double")
+    table = {r["trees"]: r for r in reporting.sweep_table(d, "trees").collect()}
+    assert table[2]["best"] and not table[1]["best"] and table[1]["objective"] == pytest.approx(1.1)
