@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causalpanel.session import ship
+from causalpanel.session import checkpoint_dir, cut, ship
 
 __all__ = ["bucket_offsets", "checkpoint_dir", "cut", "discard", "hash_bits", "keyed", "n_words", "row_hash", "row_key", "ship", "stored", "words"]
 
@@ -19,28 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.
-
-    Where it is unset a local session (tests) gets a temporary one; a cluster gets an error, since its
-    executors would not find what lies in the driver's own folder.
-    """
-    context = spark.sparkContext
-    holder = context._jsc.sc()
-    if holder.getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="causalpanel-"))
-    return holder.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised once in the shared checkpoint folder, with its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 
