@@ -142,8 +142,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
-        added = sorted(filter(None, (t["content"] for t in said.get("added_tokens") or ())), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t["content"] for t in said.get("added_tokens") or () if t["content"]]
         pre = said.get("pre_tokenizer") or {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
         self.cuts = byte_level and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
@@ -190,7 +189,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if not self.cuts or (self.added and self.added.search(text)):
+        if not self.cuts or any(token in text for token in self.added):
             return np.frombuffer(self._whole(text), self.kind)
         if ADJACENT.search(text):
             return np.frombuffer(self._ids(self.bare, PIECE.findall(text), ""), self.kind)
