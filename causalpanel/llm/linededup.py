@@ -27,9 +27,8 @@ VARIABLE = "<*>"
 BROADCAST_LINES = 200_000
 
 
-def _tokens(line: str) -> Column:
-    """A line's words, those with a digit replaced by the mark of a variable."""
-    found = words(F.col(line))
+def _tokens(line: str, found: Column) -> Column:
+    """A line's words (``found``), those with a digit replaced by the mark of a variable."""
     return F.when(F.col(line).rlike("[0-9]"), F.transform(found, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x))).otherwise(found)
 
 
@@ -39,10 +38,11 @@ def _lines(docs: DataFrame, least_tokens: int, verbatim: bool) -> DataFrame:
     With ``verbatim`` also raw, the hash of the words with their digits.
     """
     d = docs.select("doc_id", "_k1", "_k2", F.posexplode(F.split("text", "\n")).alias("no", "_line"))
-    d = d.withColumn("_t", _tokens("_line")).where(F.size("_t") >= least_tokens)
-    variables = F.when(F.col("_line").rlike("[0-9]"), F.size(F.filter("_t", lambda x: x == VARIABLE))).otherwise(0)
+    d = d.withColumn("_w", words(F.col("_line"))).where(F.size("_w") >= least_tokens)
+    d = d.withColumn("_t", _tokens("_line", F.col("_w")))
+    variables = F.size(F.filter("_t", lambda x: x == VARIABLE))
     path = [F.get("_t", F.lit(k)) for k in range(DEPTH)]
-    raw = [F.when(F.col("_line").rlike("[0-9]"), F.xxhash64(words(F.col("_line")))).otherwise(F.xxhash64("_t")).alias("raw")] if verbatim else []
+    raw = [F.xxhash64("_w").alias("raw")] if verbatim else []
     return d.select("doc_id", "_k1", "_k2", "no", F.xxhash64(F.size("_t"), *path).alias("leaf"), F.xxhash64("_t").alias("line"), F.size("_t").alias("n"), variables.alias("var"), *raw)
 
 
@@ -59,7 +59,7 @@ def _templates(known: DataFrame, docs: DataFrame, least_docs: int) -> DataFrame:
     found = found.withColumn("_all", F.split("text", "\n")).select("_all", F.explode("_wanted").alias("w"))
     found = found.select("w.leaf", "w.line", "w.docs", F.get("_all", F.col("w.no")).alias("_line"))
     found = found.dropDuplicates(["leaf", "line"])  # a text may come in several rows
-    placed = cut(found.select("leaf", "line", "docs", F.posexplode(_tokens("_line")).alias("pos", "token")))
+    placed = cut(found.select("leaf", "line", "docs", F.posexplode(_tokens("_line", words(F.col("_line")))).alias("pos", "token")))
     shared = placed.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("_df")).where((F.col("_df") >= least_docs) & (F.col("token") != VARIABLE))
     shared = cut(shared.select("leaf", "pos", "token", F.lit(True).alias("_constant")))
     marked = placed.join(shared, ["leaf", "pos", "token"], "left")
