@@ -69,8 +69,8 @@ STAGES = [
     ("packing", pack_bins),
 ]
 
-#: SQL cannot express the trained model and the sequential packing; tests hold the stages to
-#: brute-force versions.
+#: SQL cannot express the trained model and the sequential packing. Tests hold near-duplicates to
+#: brute-force Jaccard, toxicity and lines to planted words, mixing and packing to each other's words.
 ORACLE_SQL = None
 
 
