@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -191,6 +192,29 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+#: CRC-32 four bits at a time: what each of the 16 values of the low bits turns into.
+CRC_STEPS = [reduce(lambda a, _: a >> 1 ^ 0xEDB88320 * (a & 1), range(4), value) for value in range(16)]
+OP8_SQL = f"""
+with d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
+         regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as bytes from documents),
+h as (
+  select doc_id, size,
+         list_concat([4294967295::bigint], flatten([[('0x' || b[2])::bigint, ('0x' || b[1])::bigint] for b in bytes])) as digits
+  from d),
+c as (
+  select doc_id, size, xor(4294967295, list_reduce(digits, lambda crc, x: xor(crc >> 4, {CRC_STEPS}[(xor(crc, x) & 15) + 1])))::bigint as crc
+  from h),
+r as (
+  select *, row_number() over by_key as rank, sum(size) over by_key - size as before, sum(size) over () as total
+  from c window by_key as (order by crc, doc_id nulls first rows unbounded preceding)),
+p as (select *, ((2 * before + size) * {sharding.SHARDS} // (2 * total))::int as shard from r)
+select doc_id, size::bigint as size, crc as text_crc32, 'bytes' as law, shard,
+       (rank - min(rank) over (partition by shard))::bigint as slot, null::int as grown_shard
+from p
+"""
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``mtree.top_k`` of all embeddings: five rows per query, or fewer if there are no more others."""
     return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -242,4 +266,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_host_rules": OP7_SQL, "op9_top_k": OP9_SQL}
+    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_host_rules": OP7_SQL, "op8_shards": OP8_SQL, "op9_top_k": OP9_SQL}
