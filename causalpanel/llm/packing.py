@@ -73,7 +73,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int = CA
 
 def pieces(docs: DataFrame, capacity: int, doc_id: str, text: str, source: str, cluster: Column | None) -> DataFrame:
     """A row for each run of up to ``capacity`` words of a document; one of size 0 for no words."""
-    same = F.xxhash64(text) if cluster is None else cluster
+    same = F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit("second"), text)) if cluster is None else cluster
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), same.alias("cluster"), n_words(F.col(text)).alias("_words"), *row_key(F.col(doc_id), F.col(text), F.col(source)))
     last = F.greatest(F.ceil(F.col("_words") / capacity) - 1, F.lit(0))
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
@@ -86,8 +86,9 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, piece, first_word, n_words, source, bin_id, bin_offset, bin_words.
 
-    ``cluster`` names duplicates (the default: rows of equal text), which never share a bin: nor do
-    two pieces of one document. Sources and clusters are told apart exactly. ``bin_id`` is unique
+    ``cluster`` names duplicates (the default: rows of equal text, told by 128 bits of hashes), which
+    never share a bin: nor do two pieces of one document. Sources and named clusters are told apart
+    exactly. ``bin_id`` is unique
     over all groups. A document of no words (null and empty texts) has one piece and no bin. Null
     sources are free of the source rule. Repeated rows are duplicates of each other; other columns
     are not read; an empty table gives an empty result.
