@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, chat, linededup, mixing, mtree, packing, quality, sharding, simhash, toxicity
+from . import bitpack, chat, digests, linededup, mixing, mtree, packing, quality, sharding, simhash, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -103,6 +102,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+_BITS = " | ".join(f"((2 * sum((h >> {b}) & 1) > count(*))::ubigint << {b})" for b in range(64))
+OP3_SQL = rf"""
+with recursive d as (
+  select row_number() over () as rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) as w
+  from documents),
+g as (
+  select rid, array_to_string(w[i:i + 3], ' ') as s
+  from (select rid, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) as i from d)),
+{digests.xxh64_sql("g")},
+f as (select rid, {_BITS} as print from g join hashed using (s) group by rid),
+p as (select doc_id, coalesce(print, 0::ubigint) as print from d left join f using (rid)),
+u as (select print, min(doc_id) as least_id from p group by print),
+e as (select a.print, b.print as other from u a join u b on a.print <> b.print and bit_count(xor(a.print, b.print)) <= 4),
+c as (select print, print as other from u union select c.print, e.other from c join e on c.other = e.print),
+m as (select c.print, min(least_id) as component_id from c join u on c.other = u.print group by c.print)
+select doc_id, format('{{:016x}}', print) as fingerprint, component_id from p join m using (print)
+"""
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``chat.link`` of all conversations, whose turns of users and assistants are calls and results; a row per turn."""
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -192,22 +211,12 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
-#: CRC-32 four bits at a time: what each of the 16 values of the low bits turns into.
-CRC_STEPS = [reduce(lambda a, _: a >> 1 ^ 0xEDB88320 * (a & 1), range(4), value) for value in range(16)]
 OP8_SQL = f"""
-with d as (
-  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
-         regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as bytes from documents),
-h as (
-  select doc_id, size,
-         list_concat([4294967295::bigint], flatten([[('0x' || b[2])::bigint, ('0x' || b[1])::bigint] for b in bytes])) as digits
-  from d),
-c as (
-  select doc_id, size, xor(4294967295, list_reduce(digits, lambda crc, x: xor(crc >> 4, {CRC_STEPS}[(xor(crc, x) & 15) + 1])))::bigint as crc
-  from h),
+with d as (select doc_id, text, octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+{digests.crc32_sql("d")},
 r as (
   select *, row_number() over by_key as rank, sum(size) over by_key - size as before, sum(size) over () as total
-  from c window by_key as (order by crc, doc_id nulls first rows unbounded preceding)),
+  from summed window by_key as (order by crc, doc_id nulls first rows unbounded preceding)),
 p as (select *, ((2 * before + size) * {sharding.SHARDS} // (2 * total))::int as shard from r)
 select doc_id, size::bigint as size, crc as text_crc32, 'bytes' as law, shard,
        (rank - min(rank) over (partition by shard))::bigint as slot, null::int as grown_shard
@@ -266,4 +275,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op4_tool_calls": OP4_SQL, "op7_host_rules": OP7_SQL, "op8_shards": OP8_SQL, "op9_top_k": OP9_SQL}
+    return {"op1_mix": OP1_SQL, "op2_line_templates": OP2_SQL, "op3_simhash": OP3_SQL, "op4_tool_calls": OP4_SQL, "op7_host_rules": OP7_SQL, "op8_shards": OP8_SQL, "op9_top_k": OP9_SQL}
