@@ -7,17 +7,20 @@ arguments are validated against schemas; every event is serialised as canonical
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_offsets, cut
 
-#: Fields of a tool's arguments: name -> (JSON type, whether it must be there).
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: A tool's arguments: name -> (JSON type, whether it must be there), or a schema in these words of JSON
+#: Schema: type (one or a list), properties, required, additionalProperties, items, enum.
+Schemas = dict[str, dict]
 #: The one tool of plain conversations: a user's turn asks, the next assistant's turn answers.
 EXCHANGE: Schemas = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
 #: Variant types that stand for each JSON type.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
+TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 #: Placing keys in one bucket of a conversation.
 SPAN = 1024
 CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
@@ -63,19 +66,58 @@ def exchanges(found: DataFrame) -> DataFrame:
     )
 
 
+def _rule(fields: dict) -> dict:
+    """The schema of a tool's arguments; fields with a pair each take nothing beside them."""
+    if not all(isinstance(x, tuple) for x in fields.values()):
+        return fields
+    needed = [name for name, (_, there) in fields.items() if there]
+    return {"properties": {name: {"type": kind} for name, (kind, _) in fields.items()}, "required": needed, "additionalProperties": False}
+
+
+def _broken(value: Column, rule: dict, path: str) -> Column:
+    """The faults of a variant that is there, each with its place: a dot before a field, [] for an array's elements."""
+    none, kind = F.array().cast("array<string>"), F.schema_of_variant(value)
+    fault = lambda broken, what, at: F.when(broken, F.array(F.lit(f"{what}:{at}"))).otherwise(none)
+    found = []
+    if "enum" in rule:
+        found.append(fault(~F.to_json(value).isin([json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in rule["enum"]]), "enum", path))
+    fields, is_object = rule.get("properties", {}), kind.startswith("OBJECT")
+    for name in sorted({*fields, *rule.get("required", [])}):
+        at, quote = f"{path}.{name}" if path else name, '"' if "'" in name else "'"
+        part = F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+        own = fields.get(name, {})
+        null_fits = "null" in _kinds(own)
+        there = F.coalesce(part.isNotNull() & (F.lit(null_fits) | (F.schema_of_variant(part) != "VOID")), F.lit(False))
+        found.append(F.when(there, _broken(part, own, at)).otherwise(fault(is_object & F.lit(name in rule.get("required", [])), "missing", at)))
+    if rule.get("additionalProperties", True) is False:
+        names = F.coalesce(F.json_object_keys(F.to_json(value)), none)
+        known = F.array(*[F.lit(name) for name in sorted(fields)]).cast("array<string>")
+        found.append(F.transform(F.array_except(names, known), lambda k: F.concat(F.lit(f"unknown:{path}." if path else "unknown:"), k)))
+    if "items" in rule:
+        parts = F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+        found.append(F.coalesce(F.flatten(F.transform(parts, lambda x: _broken(x, rule["items"], f"{path}[]"))), none))
+    inner = F.array_distinct(F.concat(none, *found))
+    if not _kinds(rule):
+        return inner
+    return F.when(~kind.rlike(f"^({'|'.join(TYPES[k] for k in _kinds(rule))})$"), F.array(F.lit(f"type:{path}"))).otherwise(inner)
+
+
+def _kinds(rule: dict) -> list[str]:
+    kind = rule.get("type", [])
+    return [kind] if isinstance(kind, str) else list(kind)
+
+
 def faults(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """What is wrong with a call's arguments, sorted; an empty list if nothing is."""
+    """What is wrong with a call's arguments, sorted; an empty list if nothing is.
+
+    ``json``: they are no JSON object; ``tool``: there is no such tool; else a word and a place each,
+    such as ``type:a.b``, ``enum:c``, ``missing:d[].e`` (a null counts as missing unless its type may
+    be null) and ``unknown:f``. Equal faults of an array's elements count as one.
+    """
     parsed = F.try_parse_json(arguments)
     by_tool = F.when(F.lit(False), F.array().cast("array<string>"))
     for tool, fields in sorted(schemas.items()):
-        found = []
-        for field, (kind, needed) in sorted(fields.items()):
-            part = F.try_variant_get(parsed, f"$['{field}']", "variant")
-            wrong = ~F.schema_of_variant(part).rlike(f"^{TYPES[kind]}$")
-            there = part.isNotNull() & (F.schema_of_variant(part) != "VOID")
-            found.append(F.when(there & wrong, f"type:{field}").when(~F.coalesce(there, F.lit(False)) & F.lit(needed), f"missing:{field}"))
-        extra = F.transform(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*[F.lit(f) for f in sorted(fields)])), lambda k: F.concat(F.lit("unknown:"), k))
-        by_tool = by_tool.when(name == tool, F.array_compact(F.concat(F.array(*found), extra)))
+        by_tool = by_tool.when(name == tool, _broken(parsed, _rule(fields), ""))
     told = by_tool.otherwise(F.array(F.lit("tool")))
     return F.sort_array(F.when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), F.array(F.lit("json"))).otherwise(told))
 

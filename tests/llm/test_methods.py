@@ -200,6 +200,20 @@ def test_tool_calls(spark):
     assert found[3]["json"] == '{"arguments":{"x":1,"y":2},"call_id":"b","name":"add","role":"assistant"}'
 
 
+def test_arguments_are_held_to_nested_schemas(spark):
+    at = {"type": "object", "properties": {"city": {"type": "string"}, "it's": {"type": ["integer", "null"]}}, "required": ["city", "it's"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"at": at, "unit": {"enum": ["C", "F", 1, None]}, "days": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}}}, "required": ["at"]}
+    cases = [
+        ({"at": {"city": "x", "it's": None}, "unit": "C", "days": [{"n": 1}, {"n": 2, "more": 0}], "more": 1}, ""),
+        ({"at": {"city": 1, "sea": 2}, "unit": "K"}, "enum:unit,missing:at.it's,type:at.city,unknown:at.sea"),
+        ({"days": [{"n": 1}, {"n": "2"}, {}, {"n": None}, 5]}, "missing:at,missing:days[].n,type:days[],type:days[].n"),
+        ({"at": [], "days": {}}, "type:at,type:days"), ({"at": {"city": "", "it's": 2}, "unit": 1, "days": []}, ""), ({}, "missing:at"),
+    ]
+    call = lambda a: json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": a}]})
+    found = linked(spark, [(k, 0, "assistant", call(a)) for k, (a, _) in enumerate(cases)], {"f": schema})
+    assert [r["faults"] for r in found] == [told for _, told in cases]
+
+
 def linked(spark, rows, schemas=None):
     d = chat.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     return sorted(chat.link(d, schemas or {"f": {}}).collect(), key=lambda r: (r["conv_id"], r["position"]))
