@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_offsets, cut
+from .common import cut, stored
 
 #: A tool's arguments: name -> (JSON type, whether it must be there), or a schema in these words of JSON
 #: Schema: type (one or a list), properties, required, additionalProperties, items, enum.
@@ -21,8 +21,6 @@ Schemas = dict[str, dict]
 EXCHANGE: Schemas = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
 #: Variant types that stand for each JSON type.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
-#: Placing keys in one bucket of a conversation.
-SPAN = 1024
 CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
 RESULT = "struct<tool_call_id: string, content: string>"
 
@@ -163,38 +161,53 @@ def link(found: DataFrame, schemas: Schemas) -> DataFrame:
     Events without conversation, turn or identifier never link; they are placed by what they have,
     null turns last. Repeated rows are events of their own. An empty table gives an empty result.
     """
-    d = cut(found.withColumn("_tag", F.monotonically_increasing_id()))
-    named = d.where((F.col("kind") == "call") & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull())
+    d = stored(found.withColumn("_tag", F.monotonically_increasing_id()))
+    slim = d.select("conv_id", "turn", "nth", "kind", "call_id", "_tag")
     here = F.struct(F.coalesce("turn", F.lit((1 << 62))).alias("turn"), "nth", "_tag")
+    named = d.where((F.col("kind") == "call") & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull())
     first = named.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("after", here.alias("at")), here).alias("c"))
     calls = cut(first.select("conv_id", "call_id", "c.at", "c.after"))
     levels = _levels(calls).withColumn("_hard", F.lit(True))
     placed = calls.select("conv_id", "call_id", "at").join(levels, ["conv_id", "call_id"], "left")
     placed = placed.withColumns({"level": F.when(F.col("_hard"), F.col("level")).otherwise(0), "late": F.coalesce("late", "at.turn")})
-    replied = d.where((F.col("kind") == "result") & F.col("call_id").isNotNull()).select("conv_id", "call_id").distinct().withColumn("_replied", F.lit(True))
+    replied = slim.where((F.col("kind") == "result") & F.col("call_id").isNotNull()).select("conv_id", "call_id").distinct().withColumn("_replied", F.lit(True))
     placed = cut(placed.join(replied, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("at").alias("_at"), "level", F.col("late").alias("_late"), "_replied", F.lit(True).alias("_named")))
-    d = d.join(placed, ["conv_id", "call_id"], "left")
+    e = slim.join(placed, ["conv_id", "call_id"], "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
-    d = d.withColumn("faults", F.when(call, faults(F.col("name"), F.col("arguments"), schemas)))
     same = F.col("_at._tag") == F.col("_tag")
     status = (
         F.when(call & F.col("_named") & ~same, "duplicate").when(call & F.col("_named") & F.col("level").isNull(), "cyclic")
-        .when(call & (F.size("faults") > 0), "invalid").when(call & F.col("_replied"), "answered").when(call, "unanswered")
+        .when(call & F.col("_replied"), "answered").when(call, "unanswered")
         .when(result & F.col("_named"), "linked").when(result, "orphan").otherwise("message")
     )
-    d = d.withColumn("status", status)
-    linked = F.col("status") == "linked"
+    e = e.withColumn("_status", status)
+    linked = F.col("_status") == "linked"
     own = F.coalesce("turn", F.lit(1 << 62))
     turn = F.greatest(F.when(linked, F.col("_at.turn")).otherwise(own), F.when(call | linked, F.col("_late")))
     order = F.struct(turn.alias("turn"), F.when(call | linked, F.coalesce("level", F.lit(0))).otherwise(0).alias("level"), F.when(linked, F.col("_at.nth")).otherwise(F.col("nth")).alias("nth"), F.when(linked, F.col("call_id")).when(call, F.col("call_id")).alias("id"), F.when(linked, 1).otherwise(0).alias("after"), own.alias("own"), F.col("_tag").alias("tag"))
+    at = _positions(e.select(F.col("conv_id").alias("_conv"), "_tag", "_status", order.alias("_order")))
     arguments = F.coalesce(F.to_json(F.try_parse_json(F.col("arguments"))), F.to_json(F.col("arguments").cast("variant")))
     field = lambda key, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), value))
     quoted = lambda c: F.to_json(F.col(c).cast("variant"))
     body = F.concat_ws(",", field("arguments", F.when(call, arguments)), field("call_id", quoted("call_id")), field("content", quoted("content")), field("name", quoted("name")), field("role", quoted("role")))
-    d = d.withColumn("json", F.concat(F.lit("{"), body, F.lit("}"))).withColumn("_order", order)
-    d = cut(d.select("conv_id", "turn", "nth", "kind", "call_id", "status", "faults", "json", "_order", F.floor(F.col("_order.turn") / SPAN).alias("_span")))
-    totals = d.groupBy("conv_id", "_span").agg(F.count("*").alias("_n"))
-    offsets = bucket_offsets(totals.withColumn("conv_id", F.struct("conv_id")), ["conv_id"], "_span", 20, "_n").select("conv_id.conv_id", "_span", "_offset")
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("conv_id", "_span").orderBy("_order")) - 1).alias("d")
-    joined = d.join(offsets.alias("o"), F.col("d.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("d._span") == F.col("o._span")))
-    return joined.select("d.conv_id", "turn", "nth", "kind", "call_id", "status", F.concat_ws(",", "faults").alias("faults"), (F.col("_offset") + F.col("_nth")).cast("long").alias("position"), "json")
+    d = d.select(
+        "_tag", "conv_id", "turn", "nth", "kind", "call_id", F.coalesce(F.concat_ws(",", F.when(call, faults(F.col("name"), F.col("arguments"), schemas))), F.lit("")).alias("faults"),
+        F.concat(F.lit("{"), body, F.lit("}")).alias("json"),
+    ).join(at, "_tag")
+    invalid = F.col("_status").isin("answered", "unanswered") & (F.col("faults") != "")
+    return d.select("conv_id", "turn", "nth", "kind", "call_id", F.when(invalid, "invalid").otherwise(F.col("_status")).alias("status"), "faults", "position", "json")
+
+
+def _positions(d: DataFrame) -> DataFrame:
+    """_tag, _status, position of events by ``_order`` within ``_conv``.
+
+    Events are range-partitioned by conversation and order, which is unique, so that a conversation of
+    any size is divided. Only the first conversation of a range goes on from an earlier one.
+    """
+    d = cut(d.repartitionByRange("_conv", "_order").withColumn("_range", F.spark_partition_id()))
+    totals = d.groupBy("_conv", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_conv").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = totals.select(F.col("_conv").alias("_c"), F.col("_range").alias("_r"), F.sum("_n").over(before).alias("_before")).where("_before is not null")
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_conv", "_range").orderBy("_order")) - 1)
+    d = d.join(F.broadcast(goes_on), F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")), "left")  # a row per range at most
+    return d.select("_tag", "_status", (F.coalesce("_before", F.lit(0)) + F.col("_nth")).cast("long").alias("position"))
