@@ -84,11 +84,18 @@ class MTree:
     def _page_scores(self, query: np.ndarray, bound: float) -> Callable:
         """A function of (objects, floor) -> (objects that may reach the floor, exact scores)."""
         q = query.astype(np.float64)
+
+        def reaching(some, score, low):
+            if low is not None:
+                kept = np.flatnonzero(score >= low)
+                some, score = some[kept], score[kept]
+            return some, score.astype(np.int64).tolist()
+
         if bound < IN_DOUBLE:
-            return lambda some, low: (some, (self.x[some] @ q).astype(np.int64).tolist())
+            return lambda some, low: reaching(some, self.x[some] @ q, low)
         if bound < IN_LONG and self.most < WIDE:
             whole, x = query.astype(np.int64), self.x if self.longs is None else self.longs
-            return lambda some, low: (some, (x[some].astype(np.int64) @ whole).tolist())
+            return lambda some, low: reaching(some, x[some].astype(np.int64) @ whole, low)
         whole, error = [int(c) for c in query.tolist()], bound * len(query) * 2.0**-50
 
         def wide(some, low):
