@@ -54,6 +54,12 @@ class MTree:
         self.nodes: list[tuple] = []
         self.computed = 0
         self.root = self._build(np.arange(len(vectors)), None)
+        # vectors lie in the order of the pages, so that a page is a slice; ``at`` leads back
+        self.at = np.concatenate([objects for page, objects, *_ in self.nodes if page])
+        self.place = np.argsort(self.at)
+        self.x, self.square, self.extra = self.x[self.at], self.square[self.at], self.extra[self.at]
+        self.longs = None if self.longs is None else self.longs[self.at]
+        self.nodes = [(page, self.place[objects], *rest) for page, objects, *rest in self.nodes]
 
     def _distances(self, objects: np.ndarray, to: int) -> np.ndarray:
         plain = self.square[objects] + self.square[to] - 2.0 * (self.x[objects] @ self.x[to])
@@ -82,7 +88,7 @@ class MTree:
         return len(self.nodes) - 1
 
     def _page_scores(self, query: np.ndarray, bound: float) -> Callable:
-        """A function of (objects, floor) -> (objects that may reach the floor, exact scores)."""
+        """A function of (rows, objects, floor) -> (objects that may reach the floor, exact scores); rows: a slice or the objects."""
         q = query.astype(np.float64)
 
         def reaching(some, score, low):
@@ -92,13 +98,13 @@ class MTree:
             return some, score.astype(np.int64).tolist()
 
         if bound < IN_DOUBLE:
-            return lambda some, low: reaching(some, self.x[some] @ q, low)
+            return lambda rows, some, low: reaching(some, self.x[rows] @ q, low)
         if bound < IN_LONG and self.most < WIDE:
             whole, x = query.astype(np.int64), self.x if self.longs is None else self.longs
-            return lambda some, low: reaching(some, x[some].astype(np.int64) @ whole, low)
+            return lambda rows, some, low: reaching(some, x[rows].astype(np.int64) @ whole, low)
         whole, error = [int(c) for c in query.tolist()], bound * len(query) * 2.0**-50
 
-        def wide(some, low):
+        def wide(rows, some, low):
             if low is not None:
                 some = some[self.x[some] @ q + error >= low]
             return some, [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in self.x[some].tolist()]
@@ -115,6 +121,7 @@ class MTree:
         q = query.astype(np.float64)
         own = float(q @ q)
         base, scores = own + self.most, self._page_scores(query, math.sqrt(own) * math.sqrt(self.most))
+        skip = int(self.place[skip]) if skip >= 0 else skip
         slack = SLACK * (math.sqrt(base) + 1.0) + (1e-6 + math.sqrt(len(q) * 2.0**-48)) * math.sqrt(base)
         found: list[tuple[int, int, int]] = []  # (-score, id, object), the best k in order
 
@@ -141,8 +148,9 @@ class MTree:
             self.computed += len(some)
             if page:
                 low = least_score()
-                some, score = scores(some[some != skip], low)
-                new = [(-s, int(ids[o]), o) for s, o in zip(score, some.tolist(), strict=True) if low is None or s >= low]
+                rows = slice(objects[0], objects[-1] + 1) if len(some) == len(objects) else some
+                some, score = scores(rows, some, low)
+                new = [(-s, int(ids[self.at[o]]), o) for s, o in zip(score, some.tolist(), strict=True) if o != skip and (low is None or s >= low)]
                 if new:
                     found = sorted([*found, *new])[:k]
                     limit = reach()
@@ -151,7 +159,7 @@ class MTree:
             nearest = np.maximum(far - radii[at], 0.0)
             for j in np.flatnonzero(nearest <= limit).tolist():
                 heapq.heappush(heap, (float(nearest[j]), children[at[j]], float(far[j])))
-        return [(-s, o) for s, _, o in found]
+        return [(-s, int(self.at[o])) for s, _, o in found]
 
 
 def _matrix(column, width: int) -> np.ndarray:
