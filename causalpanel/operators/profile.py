@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import is_missing
 from causalpanel.operators.quality import melt
+from causalpanel.operators.rank import value_ranks
+from causalpanel.session import cut
 
 BANDS = (0.0, 0.01, 0.05, 0.10, 0.20, 0.30, 0.50, 0.75)
 DELAYS = (31, 45, 60, 90, 120)
@@ -88,8 +90,15 @@ def company_observations(d: DataFrame, entity: str, date: str) -> DataFrame:
 
 
 def cross_section(d: DataFrame, month: str, column: str) -> DataFrame:
-    """month, n, mean, sd, median, low, high (5 and 95 percent; observed values) of each month's cross-section."""
-    x = F.col(column).cast("double")
-    q = F.percentile_approx(x, [0.05, 0.5, 0.95], ACCURACY)
-    found = d.groupBy(F.col(month).alias("month")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), q.alias("_q"))
-    return found.select("month", "n", "mean", "sd", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("low"), F.col("_q")[2].alias("high"))
+    """month, n, mean, sd, median, low, high (5 and 95 percent) of each month's cross-section.
+
+    The three quantiles are the observed values of the exact ranks, ceil(share * n) from below. The ranks
+    come from ``value_ranks``, so no task holds a month.
+    """
+    key = F.struct(F.col(month).alias("month")).alias("_key")  # equal in joins, also for a null month
+    d = cut(d.select(key, F.col(column).cast("double").alias("_x")))  # read by the moments and the ranks
+    found = d.groupBy("_key").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"))
+    counts = d.where("_x is not null").groupBy("_key", "_x").agg(F.count("*").alias("_m"))
+    at = lambda percent: F.min(F.when(100 * (F.col("_below") + F.col("_m")) >= percent * F.col("_all"), F.col("_x")))
+    quantiles = value_ranks(counts, ["_key"], "_x", "_m").groupBy("_key").agg(at(50).alias("median"), at(5).alias("low"), at(95).alias("high"))
+    return found.join(quantiles, "_key", "left").select("_key.month", "n", "mean", "sd", "median", "low", "high")

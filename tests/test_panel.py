@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causalpanel.functions.guards import null_safe_clip, safe_div
-from causalpanel.operators import asof, boost, compare, model, prices, quality, reporting, resample, selection
+from causalpanel.operators import asof, boost, compare, model, prices, profile, quality, reporting, resample, selection
 from causalpanel.operators.rank import monthly_rank_ic, spearman
 from causalpanel.plans import expr, folds, run, search
 from causalpanel.sources import io
@@ -301,3 +301,19 @@ def test_sweep(spark):
     d = spark.createDataFrame([(r["trees"], r["arm"], r["mean_ic"]) for r in rows], "trees int, arm string, mean_ic double")
     table = {r["trees"]: r for r in reporting.sweep_table(d, "trees").collect()}
     assert table[2]["best"] and not table[1]["best"] and table[1]["objective"] == pytest.approx(1.1)
+
+
+def test_cross_section_has_exact_quantiles(spark):
+    rng = random.Random(3)
+    months = {date(2020, 1, 1): 60_000, date(2020, 2, 1): 20, date(2020, 3, 1): 1, None: 7}
+    rows = [(m, rng.gauss(0, 1) if rng.random() < 0.9 else 0.25) for m, n in months.items() for _ in range(n)]
+    rows += [(date(2020, 1, 1), None), (date(2020, 4, 1), None)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "m date, x double").repartition(8)
+    found = {r["month"]: r for r in profile.cross_section(d, "m", "x").collect()}
+    assert set(found) == {*months, date(2020, 4, 1)}
+    for m, n in months.items():
+        x = sorted(v for k, v in rows if k == m and v is not None)
+        assert found[m]["n"] == n and found[m]["mean"] == pytest.approx(sum(x) / n)
+        assert [found[m][c] for c in ("low", "median", "high")] == [x[-(-n * p // 100) - 1] for p in (5, 50, 95)]
+    assert found[date(2020, 4, 1)][1:] == (0, None, None, None, None, None)
