@@ -14,6 +14,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from functools import cache
 from itertools import islice
 
@@ -25,15 +26,17 @@ from .common import checkpoint_dir, ship
 
 MAGIC, VERSION = b"TIDB", 1
 LANES, BLOCK = 64, 4096
+#: Ids that are packed in one go (whole blocks; more leave the processor's cache).
+SLICE = 16 * BLOCK
 #: An image is closed at the first document that brings it to this many ids.
 IMAGE_IDS = 1 << 20
 END_ID = 0
-#: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a memory of a Python worker holds, and the characters of the longest.
+REMEMBERED, LONGEST = 1 << 19, 256
 #: The characters that the pre-tokenizer's \s matches (Unicode White_Space).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that a run of letters is parted from (an apostrophe may begin a contraction).
-MARKS = ".,;:!?"
+MARKS = ".,;:!?#$%&*"
 
 
 def byte_chars() -> dict[int, int]:
@@ -45,6 +48,15 @@ def byte_chars() -> dict[int, int]:
 
 BYTE_CHARS = byte_chars()
 PIECE, ADJACENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+"), re.compile(f"[{SPACES}]{{2}}")
+#: Of ASCII: pairs of the common spaces, and the rare spaces.
+PAIRS, RARE = ("  ", " \n", "\n ", "\n\n"), "\t\x0b\x0c\r"
+
+
+def has_adjacent(text: str) -> bool:
+    """Whether two white-space characters adjoin; plain searches answer for most texts."""
+    if not text.isascii() or any(c in text for c in RARE):
+        return ADJACENT.search(text) is not None
+    return any(pair in text for pair in PAIRS)
 
 
 def id_bits(vocabulary: int) -> int:
@@ -81,14 +93,15 @@ def unpack(packed, bits: int) -> np.ndarray:
 
 def write_image(doc_ids: list, starts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     """One image of documents; ``starts`` holds each document's first id and, last, the end."""
-    blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)])
+    packed = [pack(ids[i : i + SLICE], bits) for i in range(0, len(ids), SLICE)]
+    whole = BLOCK // LANES * bits * 8  # bytes of a full block
+    offsets = np.minimum(np.arange(-(-len(ids) // BLOCK) + 1) * whole, sum(map(len, packed)))
     return b"".join(
         [
             MAGIC, np.array([VERSION, bits], "<u2").tobytes(), np.array([len(doc_ids), len(ids)], "<u8").tobytes(),
             np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
             np.array([x is None for x in doc_ids], np.uint8).tobytes(),
-            np.asarray(starts, "<u8").tobytes(), offsets.astype("<u8").tobytes(), *blocks,
+            np.asarray(starts, "<u8").tobytes(), offsets.astype("<u8").tobytes(), *packed,
         ]
     )
 
@@ -128,6 +141,19 @@ class Image:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class Memory(dict):
+    """Ids by piece of text, in bounded space whatever the texts."""
+
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(piece) > LONGEST:
+            return
+        if len(self) >= REMEMBERED:  # the pieces met first are mostly the frequent ones
+            kept = list(islice(self.items(), REMEMBERED // 2))
+            self.clear()
+            self.update(kept)
+        self[piece] = ids
+
+
 class Encoder:
     """A tokenizer of the tokenizers library that remembers the ids of pieces of text.
 
@@ -147,10 +173,9 @@ class Encoder:
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
         self.cuts = byte_level and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
         self.bits = id_bits(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.spaced: dict[str, bytes] = {}  # by piece, with a space before it unless it begins with a line feed
-        self.bare: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.kind = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
+        self.spaced = Memory()  # with a space before the piece unless it begins with a line feed
+        self.bare, self.marks = Memory(), Memory()
         self.model = self.tokenizer.model
 
     def _whole(self, text: str) -> bytes:
@@ -165,33 +190,31 @@ class Encoder:
             known = self.spaced if space else self.bare
             ids = known.get(letters)
             if ids is None:
-                ids = known[letters] = self._word(letters, space)
+                ids = self._word(letters, space)
             marks = piece[len(letters) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._whole(marks)
-            return ids + self.marks[marks]
+            after = self.marks.get(marks)
+            if after is None:
+                self.marks.put(marks, after := self._whole(marks))
+            return ids + after
         seen = (space + letters).encode().decode("latin-1").translate(BYTE_CHARS)
-        return np.array([t.id for t in self.model.tokenize(seen)], self.kind).tobytes()
+        return array(self.kind.char, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
-    def _ids(self, known: dict[str, bytes], pieces: list[str], space: str) -> bytes:
-        if len(known) > REMEMBERED:  # the pieces met first are mostly the frequent ones
-            kept = dict(islice(known.items(), REMEMBERED // 2))
-            known.clear()
-            known |= kept
+    def _ids(self, known: Memory, pieces: list[str], space: str) -> bytes:
         ids = list(map(known.get, pieces))
         if None in ids:
             for k in [k for k, x in enumerate(ids) if x is None]:
                 piece = pieces[k]
-                if piece not in known:
-                    known[piece] = self._word(piece, space)
-                ids[k] = known[piece]
+                found = known.get(piece)
+                if found is None:
+                    known.put(piece, found := self._word(piece, space))
+                ids[k] = found
         return b"".join(ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         if not self.cuts or any(token in text for token in self.added):
             return np.frombuffer(self._whole(text), self.kind)
-        if ADJACENT.search(text):
+        if has_adjacent(text):
             return np.frombuffer(self._ids(self.bare, PIECE.findall(text), ""), self.kind)
         first, *rest = text.replace("\n", " \n").split(" ")
         ids = self._ids(self.spaced, rest, " ")

@@ -510,6 +510,22 @@ def test_encoder_equals_the_library(name):
     assert said["added_tokens"]
 
 
+def test_encoder_remembers_within_bounds(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bitpack, "REMEMBERED", 50)
+    monkeypatch.setattr(bitpack, "LONGEST", 40, raising=False)
+    coder, fresh = bitpack.Encoder(tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    letters = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(400)]
+    marks = ["!" * k + "," * (k % 7) + "$%&#*"[: k % 6] for k in range(1, 90)]
+    texts = [" ".join(letters), "  ".join(letters), " ".join(f"w{m}" for m in marks), "\n".join(f"{a}{m}" for a, m in zip(letters, marks, strict=False)), "x" * 5000 + " y" + "z" * 41]
+    for text in [*texts, *texts]:
+        assert coder.encode(text).tolist() == fresh.encode(text, add_special_tokens=False).ids
+        for known in (coder.spaced, coder.bare, coder.marks):
+            assert len(known) <= 50 and max(map(len, known), default=0) <= 40
+
+
 def test_token_files_read_back(spark, docs, rows, tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("byte_bpe_50k.json")
